@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import encode as E, neighbours as N, packing as P
+from loamdex.llm import encode as E, languages as L, neighbours as N, packing as P
 from loamdex.session import Stages, table
 
 
@@ -47,7 +47,24 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p6_ids, p7_containers, p7_fill)}
+def _profiles(spark: SparkSession, sf_dir: str):
+    docs, codes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")
+    return docs, codes, L.train(docs, codes)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of a document that its label doesn't name."""
+    per = L.label_documents(*_profiles(spark, sf_dir))
+    return per.where("lang is not null and (given is null or given <> lang)").select("doc_id", F.col("lang").alias("true_lang"))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of sentences in one language, with a confidence."""
+    docs, _, profiles = _profiles(spark, sf_dir)
+    return L.segments(docs, profiles)
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
 
 _USABLE = """usable AS (
     SELECT DISTINCT chunk_id, dim, embedding::DOUBLE[] AS e FROM chunk_vectors
