@@ -32,25 +32,35 @@ LETTERS, LETTERS_WIDE = 10, 4
 #: Further spellings of the languages' names.
 MORE_NAMES = {"jp": "ja", "castellano": "es", "castilian": "es", "flemish": "nl", "vlaams": "nl", "brazilian": "pt"}
 
-#: Identifiers, paths and calls; possessive, so that a word is looked at once.
-_NAME = r"(?<![A-Za-z0-9])_?(?:[A-Za-z0-9]++(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|[A-Za-z0-9_]++\(\)|[a-z]++[A-Z][A-Za-z0-9]*+)"
-_END = r"[.!?…。！？][\"'»”’)\]]*\s*$"
+#: Fenced listings, strings in triple quotes, block comments.
+_LISTING = r"(?s)(?:^|\n)[ \t>]*+(```|~~~).*?(?:\n[ \t>]*+\1[^\n]*+|$)|(\"\"\"|''').*?(?:\2|$)|/\*.*?(?:\*/|$)"
+#: Comment lines, indented listings, headings and rules; of other lines the quote and list marks.
+_LINE = (
+    r"(?m)^(?:[ \t]*+//.*+|(?: {4}|\t)[ \t]*+(?![-*+•>]|\d{1,3}[.)]).++$|[ \t]*+(?:#{1,6}[ \t].*+|=+.*=+[ \t]*|[-=~*_]{3,}[ \t]*+)$"
+    r"|[ \t]*+(?:>[ \t]*+)*+(?:(?:[-*+•]|\d{1,3}[.)])[ \t]++)?+)"
+)
+#: Inline code, marks of tokenizers, links, invisible characters, identifiers, paths, calls and
+#: numbers. Possessive, so that a word is looked at once.
+_NAME = (
+    r"`[^`\n]*+`|<\|[^|>\n]*+\|>|\[[A-Z]++\]|[​-‏‪-‮⁠﻿]"
+    r"|(?<![A-Za-z0-9])_?(?:https?://\S++|[A-Za-z0-9]++(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|[A-Za-z0-9_]++\(\)|[a-z]++[A-Z][A-Za-z0-9]*+|[0-9]++)"
+)
+_END = r"[.!?…。！？][\"'»”’)\]]*+\s*+$"
 
 
 def sentences(text: Column) -> Column:
     """Whole sentences of a text in order, without what has no language. Null gives none."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?|[\u0085  ]", "\n")
-    t = F.regexp_replace(t, r"(?s)(^|\n)[ \t>]*(```|~~~).*?(\n[ \t>]*\2[^\n]*|$)", "\n\n")
-    t = F.regexp_replace(t, r"(?s)[rRbBfFuU]{0,2}(\"\"\"|''').*?(\1|$)|/\*.*?(\*/|$)", "\n")
-    t = F.regexp_replace(t, r"(?m)^(?:[ \t]*//.*|(?: {4,}|\t)[ \t]*(?![ \t]|[-*+•>]|\d{1,3}[.)]).*)$", "")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*(#{1,6}[ \t].*|=+.*=+[ \t]*|[-=~*_]{3,}[ \t]*)$", "")
-    t = F.regexp_replace(t, r"(?m)^[ \t]*(>[ \t]*)*(([-*+•]|\d{1,3}[.)])[ \t]+)?", "")
-    t = F.regexp_replace(t, r"`[^`\n]*`|<\|[^|>\n]*\|>|\[[A-Z]+\]|https?://\S+|[​-‏‪-‮⁠﻿]", " ")
-    t = F.regexp_replace(t, _NAME, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L},;])[ \t]*\n[ \t]*(?=\p{Ll})", " ")
-    t = F.regexp_replace(t, r"[0-9]+", " ")
-    parts = F.split(t, r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])|\n+")
-    return F.filter(parts, lambda s: s.rlike(_END))
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
+    for pattern, by in (
+        (_LISTING, "\n\n"),
+        (_LINE, ""),
+        (_NAME, " "),
+        (r"\n(?<=[\p{L},;]\n)[ \t]*+(?=\p{Ll})", " "),  # a sentence that goes on in the next line
+        (r"([.!?…][\"'»”’)\]]*+)\s++|([。！？])", "$1$2\n"),
+    ):
+        t = F.regexp_replace(t, pattern, by)
+    return F.filter(F.split(t, "\n"), lambda s: s.rlike(_END))
 
 
 def label_names(codes: DataFrame) -> dict[str, str]:
@@ -175,7 +185,8 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
     Labels can be wrong and texts mixed. The first profiles take every sentence
     at its label, where what is wrong is spread thin; the second ones leave out
     the sentences that are clearly nearer to another language's first profile.
-    The samples in ``codes`` count always. Each sentence also counts without its accents, as
+    The samples in ``codes`` count always. A sentence that occurs n times counts
+    as the root of n, so that set phrases neither vanish nor rule. Each also counts without its accents, as
     accents get lost.
     """
     names = label_names(codes)
@@ -183,25 +194,28 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
     rank = F.row_number().over(W.partitionBy("__lang").orderBy(F.xxhash64(key), key))
     docs = documents.select(key, text, lang.alias("__lang")).where(F.col("__lang").isNotNull())
     docs = docs.withColumn("__rank", rank).where(F.col("__rank") <= TRAINING_DOCS)
-    parts = docs.select(F.col("__lang").alias("lang"), F.explode(sentences(F.col(text))).alias("s")).distinct()
+    parts = docs.select(F.col("__lang").alias("lang"), F.explode(sentences(F.col(text))).alias("s")).groupBy("lang", "s").count()
     parts = Stages(documents.sparkSession, "languages").save(parts)
-    seeds = codes.select("lang", F.explode(F.split("sample", r"(?<=[.!?。！？])\s*")).alias("s"))
+    seeds = codes.select("lang", F.explode(F.split("sample", r"(?<=[.!?。！？])\s*")).alias("s"), F.lit(1).cast("long").alias("count"))
 
     def count(agree: Profiles | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for x, g in b.groupby("lang"):
-                    texts = [t for t in map(_clean, g["s"]) if _enough(t)]
-                    if agree and texts:
-                        far = agree.distances(texts)
-                        fits = far[:, agree.langs.index(x)] <= far.min(axis=1) * (1 + FOREIGN)
-                        texts = [t for t, ok in zip(texts, fits) if ok]
-                    what, n = np.unique(grams(texts + [*map(_plain, texts)])[1], return_counts=True)
+                    texts = g["s"].map(_clean)
+                    fits = texts.map(_enough).to_numpy()
+                    if agree and len(texts):
+                        far = agree.distances(texts.tolist())
+                        fits &= far[:, agree.langs.index(x)] <= far.min(axis=1) * (1 + FOREIGN)
+                    kept, weight = texts[fits].tolist(), np.sqrt(g["count"].to_numpy()[fits])
+                    who, what = grams(kept + [*map(_plain, kept)])
+                    what, at = np.unique(what, return_inverse=True)
+                    n = np.bincount(at, np.concatenate([weight, weight])[who], len(what))
                     yield pd.DataFrame({"lang": x, "gram": what.view(np.int64), "n": n})
 
         return run
 
-    schema = "lang string, gram long, n long"
+    schema = "lang string, gram long, n double"
     profiles = None
     for _ in range(2):
         both = parts.mapInPandas(count(profiles), schema).union(seeds.mapInPandas(count(None), schema))
