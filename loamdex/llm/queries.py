@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import encode as E, languages as L, neighbours as N, packing as P
+from loamdex.llm import docpairs as D, encode as E, languages as L, neighbours as N, packing as P
 from loamdex.session import Stages, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and methods with documentation that says something."""
+    return D.documented(table(spark, sf_dir, "symbols")).select("node_id", "start_line")
+
+
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and documentation of the same functions."""
+    return D.documented(table(spark, sf_dir, "symbols"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with a cosine of at least 0.94."""
     return N.similar_pairs(table(spark, sf_dir, "chunk_vectors"), 0.94).select("chunk_id_a", "chunk_id_b")
@@ -64,7 +74,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segments(docs, profiles)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
 
 _USABLE = """usable AS (
     SELECT DISTINCT chunk_id, dim, embedding::DOUBLE[] AS e FROM chunk_vectors
