@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loamdex.llm import docpairs as D, encode as E, languages as L, neighbours as N, packing as P
+from loamdex.llm import chunking as C, docpairs as D, encode as E, languages as L, neighbours as N, packing as P
 from loamdex.session import Stages, table
 
 
@@ -18,6 +18,17 @@ def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.documented(table(spark, sf_dir, "symbols"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of oversized chunks on which an item begins."""
+    found = C.natural_boundaries(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "size_limits"))
+    return found.select("chunk_id", "line_no")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized chunks in pieces of the allowed size."""
+    return C.split_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "size_limits"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with a cosine of at least 0.94."""
     return N.similar_pairs(table(spark, sf_dir, "chunk_vectors"), 0.94).select("chunk_id_a", "chunk_id_b")
@@ -74,7 +85,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segments(docs, profiles)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
 
 _USABLE = """usable AS (
     SELECT DISTINCT chunk_id, dim, embedding::DOUBLE[] AS e FROM chunk_vectors
