@@ -9,6 +9,7 @@ confidence. Neighbouring sentences of one language form a segment.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from loamdex.session import Stages
 
 #: n-grams of 1 to LONGEST characters; the first PROFILE of a language and the first OWN of a sentence count.
-LONGEST, PROFILE, OWN = 5, 8000, 400
+LONGEST, PROFILE, OWN = 4, 6000, 300
+#: Sentences whose n-grams are held at a time.
+TOGETHER = 500
 #: Labelled documents per language that the profiles are fitted on, at most.
-TRAINING_DOCS = 1500
+TRAINING_DOCS = 300
 #: A sentence needs this lead over the second language to bring a language into a document of its own.
 SURE = 0.02
 #: A labelled sentence is left out of the fit if its label's distance exceeds the least by this part.
@@ -32,35 +35,36 @@ LETTERS, LETTERS_WIDE = 10, 4
 #: Further spellings of the languages' names.
 MORE_NAMES = {"jp": "ja", "castellano": "es", "castilian": "es", "flemish": "nl", "vlaams": "nl", "brazilian": "pt"}
 
-#: Fenced listings, strings in triple quotes, block comments.
-_LISTING = r"(?s)(?:^|\n)[ \t>]*+(```|~~~).*?(?:\n[ \t>]*+\1[^\n]*+|$)|(\"\"\"|''').*?(?:\2|$)|/\*.*?(?:\*/|$)"
-#: Comment lines, indented listings, headings and rules; of other lines the quote and list marks.
-_LINE = (
-    r"(?m)^(?:[ \t]*+//.*+|(?: {4}|\t)[ \t]*+(?![-*+•>]|\d{1,3}[.)]).++$|[ \t]*+(?:#{1,6}[ \t].*+|=+.*=+[ \t]*|[-=~*_]{3,}[ \t]*+)$"
+#: Fenced listings, strings in triple quotes, block and line comments, indented listings, headings
+#: and rules; of other lines the quote and list marks.
+_STRUCTURE = (
+    r"(?m)^[ \t>]*+(```|~~~)(?s:.*?)(?:\n[ \t>]*+\1[^\n]*+|\z)|(\"\"\"|''')(?s:.*?)(?:\2|\z)|/\*(?s:.*?)(?:\*/|\z)"
+    r"|^(?:[ \t]*+//.*+|(?: {4}|\t)[ \t]*+(?![-*+•>]|\d{1,3}[.)]).++$|[ \t]*+(?:#{1,6}[ \t].*+|=+.*=+[ \t]*|[-=~*_]{3,}[ \t]*+)$"
     r"|[ \t]*+(?:>[ \t]*+)*+(?:(?:[-*+•]|\d{1,3}[.)])[ \t]++)?+)"
 )
 #: Inline code, marks of tokenizers, links, invisible characters, identifiers, paths, calls and
-#: numbers. Possessive, so that a word is looked at once.
+#: numbers; a line end inside a sentence. Possessive, so that a word is looked at once.
 _NAME = (
     r"`[^`\n]*+`|<\|[^|>\n]*+\|>|\[[A-Z]++\]|[​-‏‪-‮⁠﻿]"
     r"|(?<![A-Za-z0-9])_?(?:https?://\S++|[A-Za-z0-9]++(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|[A-Za-z0-9_]++\(\)|[a-z]++[A-Z][A-Za-z0-9]*+|[0-9]++)"
+    r"|\n(?<=[\p{L},;]\n)[ \t]*+(?=\p{Ll})"
 )
-_END = r"[.!?…。！？][\"'»”’)\]]*+\s*+$"
+_STOP = (".", "!", "?", "…", "。", "！", "？")
+_CLOSE = ('"', "'", "»", "”", "’", ")", "]")
 
 
 def sentences(text: Column) -> Column:
     """Whole sentences of a text in order, without what has no language. Null gives none."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
-    for pattern, by in (
-        (_LISTING, "\n\n"),
-        (_LINE, ""),
-        (_NAME, " "),
-        (r"\n(?<=[\p{L},;]\n)[ \t]*+(?=\p{Ll})", " "),  # a sentence that goes on in the next line
-        (r"([.!?…][\"'»”’)\]]*+)\s++|([。！？])", "$1$2\n"),
-    ):
-        t = F.regexp_replace(t, pattern, by)
-    return F.filter(F.split(t, "\n"), lambda s: s.rlike(_END))
+    t = F.regexp_replace(F.regexp_replace(t, _STRUCTURE, ""), _NAME, " ")
+    t = F.regexp_replace(t, r"([.!?…][\"'»”’)\]]*+)\s++|([。！？])", "$1$2\n")
+
+    def whole(s: Column) -> Column:
+        last = F.substring(F.rtrim(s), -1, 1)
+        return last.isin(*_STOP) | (last.isin(*_CLOSE) & s.rlike(r"[.!?…。！？][\"'»”’)\]]++\s*+$"))
+
+    return F.filter(F.split(t, "\n"), whole)
 
 
 def label_names(codes: DataFrame) -> dict[str, str]:
@@ -85,14 +89,21 @@ def named_language(label: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, clean), F.try_element_at(hit, F.lit(1)))
 
 
+_NO_LETTER = re.compile(r"[^\w\s']|[\d_]")
+_ASCII = {i: " " for i in range(128) if not chr(i).isalpha() and chr(i) != "'"}
+
+
 def _clean(s: str) -> str:
     if "Ã" in s or "Â" in s or "Ð" in s or "ã" in s:
         try:  # UTF-8 that was read as Latin-1
             s = s.encode("latin-1").decode("utf-8")
         except UnicodeError:
             pass
-    s = unicodedata.normalize("NFKC", s).lower()
-    return " " + " ".join("".join(c if c.isalpha() or c == "'" else " " for c in s).split()) + " "
+    if s.isascii():
+        s = s.lower().translate(_ASCII)
+    else:
+        s = _NO_LETTER.sub(" ", unicodedata.normalize("NFKC", s).lower())
+    return f" {' '.join(s.split())} "
 
 
 def _plain(s: str) -> str:
@@ -126,35 +137,58 @@ class Profiles:
     def __init__(self, ranked: dict[str, np.ndarray]):
         self.langs = sorted(ranked)
         self.keys = np.unique(np.concatenate([ranked[x] for x in self.langs]))
-        self.rank = np.full((len(self.keys) + 1, len(self.langs)), PROFILE, np.int32)
+        self.rank = np.full((len(self.langs), len(self.keys)), PROFILE, np.int32)
         for i, x in enumerate(self.langs):
-            self.rank[np.searchsorted(self.keys, ranked[x]), i] = np.arange(len(ranked[x]))
+            self.rank[i, np.searchsorted(self.keys, ranked[x])] = np.arange(len(ranked[x]))
+        # By the first bits of its hash each key is found at once; where two share them, one is searched for.
+        self.slot = np.zeros(1 << 21, np.int32)
+        self.slot[self._slot(self.keys)] = np.arange(len(self.keys))
+        self.hidden = self.keys[self.keys[self.slot[self._slot(self.keys)]] != self.keys]
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(43)).astype(np.int64)
+
+    def _find(self, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each n-gram among the keys, and whether it is one."""
+        at = self.slot[self._slot(what)].astype(np.int64)
+        known = self.keys[at] == what
+        if len(self.hidden):
+            other = np.flatnonzero(~known)
+            other = other[np.isin(what[other], self.hidden)]
+            at[other] = np.searchsorted(self.keys, what[other])
+            known[other] = True
+        return at, known
 
     def distances(self, texts: list[str]) -> np.ndarray:
-        """Mean out-of-place distance of each cleaned text to each language, 0 to 1."""
+        """Mean out-of-place distance of each cleaned text to each language, 0 to 1.
+
+        n-grams that no profile has are as far from every language and are left out.
+        """
+        parts = [self._distances(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)]
+        return np.concatenate(parts) if parts else np.ones((0, len(self.langs)))
+
+    def _distances(self, texts: list[str]) -> np.ndarray:
         out = np.ones((len(texts), len(self.langs)))
         who, what = grams(texts)
-        if not len(who):
+        at, known = self._find(what)
+        pair, count = np.unique(who[known] << 20 | at[known], return_counts=True)
+        if not len(pair):
             return out
-        order = np.lexsort((what, who))
-        who, what = who[order], what[order]
-        new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])]))
-        count = np.diff(np.concatenate([new, [len(who)]]))
-        who, what = who[new], what[new]
-        order = np.lexsort((what, -count, who))
-        who, what = who[order], what[order]
+        # In the order of a text's most frequent n-grams; the count is below 2^15 or as good as that.
+        often = 32767 - np.minimum(count, 32767)
+        pair = np.sort((pair >> 20) << 35 | often << 20 | pair & 0xFFFFF)
+        who, at = pair >> 35, pair & 0xFFFFF
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         rank = np.arange(len(who)) - np.repeat(first, np.diff(np.concatenate([first, [len(who)]])))
         own = rank < OWN
-        who, what, rank = who[own], what[own], rank[own]
-        at = np.searchsorted(self.keys, what)
-        at[at == len(self.keys)] = 0
-        at = np.where(self.keys[at] == what, at, len(self.keys))
-        place = self.rank[at]
-        far = np.where(place < PROFILE, np.abs(place - rank[:, None]), PROFILE)
+        who, at, rank = who[own], at[own], rank[own].astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         size = np.diff(np.concatenate([first, [len(who)]]))
-        out[who[first]] = np.add.reduceat(far, first, axis=0) / size[:, None] / PROFILE
+        for i, ranks in enumerate(self.rank):
+            place = ranks[at]
+            far = np.where(place < PROFILE, np.abs(place - rank), PROFILE)
+            out[who[first], i] = np.add.reduceat(far, first) / size / PROFILE
         return out
 
 
@@ -186,8 +220,8 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
     at its label, where what is wrong is spread thin; the second ones leave out
     the sentences that are clearly nearer to another language's first profile.
     The samples in ``codes`` count always. A sentence that occurs n times counts
-    as the root of n, so that set phrases neither vanish nor rule. Each also counts without its accents, as
-    accents get lost.
+    as the root of n, so that set phrases neither vanish nor rule. Each also
+    counts without its accents, as accents get lost.
     """
     names = label_names(codes)
     lang = named_language(F.col(label), names)
@@ -208,10 +242,12 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
                         far = agree.distances(texts.tolist())
                         fits &= far[:, agree.langs.index(x)] <= far.min(axis=1) * (1 + FOREIGN)
                     kept, weight = texts[fits].tolist(), np.sqrt(g["count"].to_numpy()[fits])
-                    who, what = grams(kept + [*map(_plain, kept)])
-                    what, at = np.unique(what, return_inverse=True)
-                    n = np.bincount(at, np.concatenate([weight, weight])[who], len(what))
-                    yield pd.DataFrame({"lang": x, "gram": what.view(np.int64), "n": n})
+                    for i in range(0, len(kept), TOGETHER):
+                        some, w = kept[i : i + TOGETHER], weight[i : i + TOGETHER]
+                        who, what = grams(some + [*map(_plain, some)])
+                        what, at = np.unique(what, return_inverse=True)
+                        n = np.bincount(at, np.concatenate([w, w])[who], len(what))
+                        yield pd.DataFrame({"lang": x, "gram": what.view(np.int64), "n": n})
 
         return run
 
