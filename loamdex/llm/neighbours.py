@@ -81,7 +81,8 @@ def _file(*pivot: str) -> str:
     """Number of the posting file of a dim and one or two pivots, smaller pivot first."""
     if len(pivot) == 1:
         return f"cast(dim as long) * 4294967296 + {pivot[0]}"
-    return f"cast(dim as long) * 4294967296 + least({', '.join(pivot)}) * 65536 + greatest({', '.join(pivot)})"
+    one, two = pivot
+    return f"case when {one} is not null and {two} is not null then cast(dim as long) * 4294967296 + least({one}, {two}) * 65536 + greatest({one}, {two}) end"
 
 
 def post(index: DataFrame, first: int, pairs: bool) -> DataFrame:
