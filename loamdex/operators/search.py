@@ -6,7 +6,9 @@ top-k selections works on at most ``2 * CANDIDATES`` rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,35 +25,48 @@ def _top(df: DataFrame, score: str, key: str, limit: int, least_first: bool = Fa
     return df.orderBy(F.asc(score) if least_first else F.desc(score), key).limit(limit)
 
 
-def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], limit: int = CANDIDATES, stem: Callable[[str], str] | None = None) -> DataFrame:
-    """``key, score``: the best rows by BM25 of an OR of prefix terms, higher is better.
+def term_rows(docs: DataFrame, key: str, words: Column, terms: list[str], stem: Callable[[str], str] | None = None, version: Column | None = None) -> DataFrame:
+    """``key, len`` and the count ``tf0, tf1, ...`` of each prefix term per row.
 
-    ``words`` is an array of tokens. Term counts and lengths are taken inside
-    the row, so the only exchange is of one row of corpus statistics and of the
-    top rows. Every term counts on its own, also if it folds to the same prefix
-    as another. No terms, no rows; a row without tokens has length 0. Scores
-    are rounded to 6 digits, ties go to the smaller key.
+    Terms are counted inside the row. ``version`` tells rows of one key apart: of
+    these the one with the smallest version stays, and only counts are moved for that.
     """
-    if not terms:
-        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     prefix = [stem(t.lower()) if stem else t.lower() for t in terms]
     count = lambda p: F.size(F.filter("__w", lambda w: F.startswith(w, F.lit(p))))
-    tf = [count(p).alias(f"__tf{i}") for i, p in enumerate(prefix)]
-    rows = docs.where(F.col(key).isNotNull()).select(key, F.coalesce(words, F.array().cast("array<string>")).alias("__w"))
-    rows = rows.select(key, F.size("__w").alias("__len"), *tf)
-    n_docs = [F.count(F.when(F.col(f"__tf{i}") > 0, 1)).alias(f"__n{i}") for i in range(len(terms))]
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *n_docs)
-    hit = rows.where(F.greatest(*(F.col(f"__tf{i}") for i in range(len(terms))), F.lit(0)) > 0)
-    scored = hit.join(F.broadcast(stats))  # statistics are one row
+    rows = docs.where(F.col(key).isNotNull()).select(key, (F.lit(0) if version is None else version).alias("__v"), F.coalesce(words, F.array().cast("array<string>")).alias("__w"))
+    cols = [F.size("__w").alias("len"), *(count(p).alias(f"tf{i}") for i, p in enumerate(prefix))]
+    if version is None:
+        return rows.select(key, *cols)
+    return rows.groupBy(key).agg(F.min(F.struct("__v", *cols)).alias("r")).select(key, "r.*").drop("__v")
+
+
+def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], limit: int = CANDIDATES, stem: Callable[[str], str] | None = None, version: Column | None = None) -> DataFrame:
+    """``key, score``: the best rows by BM25 of an OR of prefix terms, higher is better.
+
+    ``words`` is an array of tokens. The statistics of the corpus are one row,
+    taken first; then a row is scored where it lies and only the top rows move.
+    Every term counts on its own, also if it folds to the same prefix as another.
+    No terms, no rows; a row without tokens has length 0. Scores are rounded to 6
+    digits, ties go to the smaller key. See ``term_rows`` for repeated keys.
+    """
+    none = docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    if not terms:
+        return none
+    rows = term_rows(docs, key, words, terms, stem, version)
+    every = range(len(terms))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in every)).first()
+    seen = [i for i in every if stats[f"n{i}"]]
+    if not seen:
+        return none
 
     def part(i: int) -> Column:
-        f, n = F.col(f"__tf{i}"), F.col(f"__n{i}")
-        idf = F.greatest(F.log((F.col("__n") - n + 0.5) / (n + 0.5)), F.lit(IDF_FLOOR))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
+        f, n = F.col(f"tf{i}"), stats[f"n{i}"]
+        idf = max(math.log((stats["n"] - n + 0.5) / (n + 0.5)), IDF_FLOOR)
+        return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg"])))
 
-    # log of a share of 0 or less is null: such terms have the floor.
-    score = sum((part(i) for i in range(1, len(terms))), part(0))
-    return _top(scored.select(key, F.round(score, 6).alias("score")), "score", key, limit)
+    hit = rows.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in seen)))
+    score = reduce(lambda x, y: x + y, map(part, seen))
+    return _top(hit.select(key, F.round(score, 6).alias("score")), "score", key, limit)
 
 
 def chunk_words(stemmed: bool = False) -> Column:
@@ -65,13 +80,13 @@ def like_fallback(docs: DataFrame, key: str, body: Column, names: Column, terms:
     """``key, score``: rows that hold one of the first five terms anywhere, whatever its case.
 
     A row counts each exact occurrence in the body once and in the names twice.
-    Per term the 50 best rows take part. Used where the index finds nothing.
+    Per term the 50 best rows take part, a repeated key with its best row. Used where the index finds nothing.
     """
     found = None
     for t in terms[:5]:
         hit = docs.where(F.contains(F.lower(body), F.lit(t.lower())) | F.contains(F.lower(names), F.lit(t.lower())))
         score = F.coalesce(T.occurrences(body, t), F.lit(0)) + 2 * F.coalesce(T.occurrences(names, t), F.lit(0))
-        part = _top(hit.select(key, score.alias("score")), "score", key, CANDIDATES)
+        part = _top(hit.groupBy(key).agg(F.max(score).alias("score")), "score", key, CANDIDATES)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.select(key, F.lit(0).cast("long").alias("score")).limit(0)
@@ -125,11 +140,17 @@ def cohere(rows: DataFrame, key: str = "chunk_id") -> DataFrame:
     return r.withColumn("score", F.col("score") + lift).drop("__m", "__f", "__b", "__fm")
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per chunk_id: of rows that differ the one with the smallest content."""
+def chunk_version() -> Column:
+    """Tells the rows of one chunk_id apart."""
+    return F.md5(F.concat_ws("\u0001", "content", "file_path", "symbol_id").cast("binary"))
+
+
+def fetch_chunks(chunks: DataFrame, few: DataFrame) -> DataFrame:
+    """The chunks of a few chunk_ids, one row each, with the columns of ``few``."""
     keep = ["symbol_id", "file_path", "chunk_type", "content", "start_line", "end_line", "language", "is_definition", "identifiers", "identifier_tokens"]
-    rows = chunks.where("chunk_id is not null").groupBy("chunk_id").agg(F.min(F.struct("content", *(c for c in keep if c != "content"))).alias("r"))
-    return rows.select("chunk_id", *(F.col(f"r.{c}").alias(c) for c in keep))
+    rows = chunks.join(F.broadcast(few.select("chunk_id")), "chunk_id", "left_semi")  # 2 * CANDIDATES rows at most
+    rows = rows.groupBy("chunk_id").agg(F.min(F.struct(chunk_version().alias("v"), *keep)).alias("r"))
+    return rows.select("chunk_id", *(F.col(f"r.{c}").alias(c) for c in keep)).join(few, "chunk_id")
 
 
 def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, mode: str = "hybrid", stemmed: bool = False) -> DataFrame:
@@ -139,21 +160,17 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
     to lexical. Repeated chunks count once. Lexical hits that the index doesn't
     give are looked for by substring.
     """
-    chunks = distinct_chunks(chunks)
     terms = T.query_terms(query)
-    want_lexical = mode in ("hybrid", "lexical") or query_vector is None
     empty = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     lexical = near = empty
-    if want_lexical:
-        lexical = bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None)
-        other = like_fallback(chunks, "chunk_id", F.col("content"), F.array_join("identifiers", " "), terms)
-        none = lexical.agg((F.count("*") == 0).alias("none"))
-        other = other.withColumn("score", F.col("score").cast("double")).join(F.broadcast(none), F.col("none")).drop("none")
-        lexical = lexical.unionByName(other)
+    if mode in ("hybrid", "lexical") or query_vector is None:
+        lexical = bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None, version=chunk_version())
+        if lexical.isEmpty():
+            lexical = like_fallback(chunks, "chunk_id", F.col("content"), F.array_join("identifiers", " "), terms).withColumn("score", F.col("score").cast("double"))
     if mode in ("hybrid", "semantic") and query_vector is not None:
         near = semantic(vectors, "chunk_id", "embedding", query_vector)
     fused = rrf(lexical, near, "chunk_id", T.query_weights(query))
-    rows = chunks.join(F.broadcast(fused), "chunk_id")  # 2 * CANDIDATES rows at most
+    rows = fetch_chunks(chunks, fused)
     return _top(cohere(boost(rows, query)).withColumn("score", F.round("score", 6)), "score", "chunk_id", limit)
 
 

@@ -218,7 +218,7 @@ SQL = {
         r(node_id) AS (SELECT node_id FROM d UNION SELECT st.b FROM r JOIN st ON st.a = r.node_id)
         SELECT node_id, node_id IN (SELECT node_id FROM d) AS is_direct FROM r""",
     "callers_callees": """WITH c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'CALLS')
-        SELECT node_id, sum(i) AS n_callers, sum(o) AS n_callees FROM (SELECT target_id AS node_id, 1 AS i, 0 AS o FROM c UNION ALL SELECT source_id, 0, 1 FROM c) GROUP BY node_id""",
+        SELECT node_id, sum(i)::BIGINT AS n_callers, sum(o)::BIGINT AS n_callees FROM (SELECT target_id AS node_id, 1 AS i, 0 AS o FROM c UNION ALL SELECT source_id, 0, 1 FROM c) GROUP BY node_id""",
     "trace_flow": f"""WITH RECURSIVE c AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE edge_type = 'CALLS'),
         r(node_id, depth, path) AS (SELECT node_id, 0, node_id FROM ({ENTRY}) UNION SELECT c.b, depth + 1, path || ' > ' || c.b FROM r JOIN c ON c.a = r.node_id WHERE depth < 10)
         SELECT node_id, depth, min(path) AS path FROM (SELECT *, min(depth) OVER (PARTITION BY node_id) AS d FROM r) WHERE depth = d GROUP BY node_id, depth""",

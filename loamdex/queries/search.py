@@ -37,7 +37,7 @@ def lexical_bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(S.distinct_chunks(table(spark, sf_dir, "chunks")), "chunk_id", S.chunk_words(), T.query_terms(CODE_QUERY))
+    return S.bm25(table(spark, sf_dir, "chunks"), "chunk_id", S.chunk_words(), T.query_terms(CODE_QUERY), version=S.chunk_version())
 
 
 def lexical_like_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _bm25_sql(source: str, key: str, words: str, terms: list[str]) -> str:
                 ORDER BY score DESC, {key} LIMIT 50)"""
 
 
-_CHUNKS = """ch AS (SELECT chunk_id, r.* FROM (SELECT chunk_id, min({'content': content, 'symbol_id': symbol_id, 'file_path': file_path, 'chunk_type': chunk_type, 'start_line': start_line, 'end_line': end_line,
+_CHUNKS = """ch AS (SELECT chunk_id, r.* FROM (SELECT chunk_id, min({'v': md5(concat_ws(chr(1), content, file_path, symbol_id)), 'symbol_id': symbol_id, 'file_path': file_path, 'chunk_type': chunk_type, 'content': content, 'start_line': start_line, 'end_line': end_line,
         'language': language, 'is_definition': is_definition, 'identifiers': identifiers, 'identifier_tokens': identifier_tokens}) AS r FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id))"""
 _CHUNK_WORDS = "concat_ws(' ', file_path, content, coalesce(array_to_string(identifiers, ' '), ''), coalesce(array_to_string(identifier_tokens, ' '), ''))"
 _COS = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)), 6)"
@@ -181,7 +181,7 @@ _LANG = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in T.LANGUAGES.items())
 SQL = {
     "lexical_bm25_topk": f"WITH {_bm25_sql('documents', 'doc_id', 'text', WORDS)} SELECT * FROM lex",
     "chunks_bm25_topk": f"WITH {_CHUNKS}, {_bm25_sql('ch', 'chunk_id', _CHUNK_WORDS, _CODE_TERMS)} SELECT * FROM lex",
-    "lexical_like_fallback": f"SELECT doc_id, sum(score) AS score FROM ({_LIKE}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50",
+    "lexical_like_fallback": f"SELECT doc_id, sum(score)::BIGINT AS score FROM ({_LIKE}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50",
     "vector_cosine_topk": f"WITH {_SEM} SELECT * FROM sem",
     "rrf_fusion": f"""WITH {_bm25_sql('documents', 'doc_id', 'text', WORDS)}, {_SEM},
         l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS lexical_rank FROM lex), s AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS semantic_rank FROM sem)
@@ -196,14 +196,14 @@ SQL = {
         FROM t WHERE rank <= 10 AND label = query GROUP BY query""",
     "split_identifiers": """SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\W]+'), lambda x: x <> ''), ' ') AS parts
         FROM (SELECT DISTINCT name FROM symbols)""",
-    "query_classify": f"""SELECT doc_id, CASE WHEN q IS NULL THEN NULL WHEN regexp_matches(trim(q, ' '), '{T.IDENTIFIER_QUERY}') OR len(regexp_split_to_array(trim(q, ' '), '\\s+')) <= 2 THEN 0.6 ELSE 0.3 END AS lexical_weight
+    "query_classify": f"""SELECT doc_id, CASE WHEN q IS NULL THEN NULL WHEN regexp_matches(trim(q, ' '), '{T.IDENTIFIER_QUERY}') OR len(regexp_split_to_array(trim(q, ' '), '\\s+')) <= 2 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS lexical_weight
         FROM (SELECT doc_id, split_part(text, '.', 1) AS q FROM documents)""",
     "content_hash": "SELECT DISTINCT chunk_id, sha256(content) AS hash, sha256(content) = content_hash AS agrees FROM chunks",
     "path_flags": f"""SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '(.)\\.[^.]*$', '\\1') AS stem, CASE lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) {_LANG} END AS language,
         regexp_matches(file_path, '{T.TEST_PATH}') AS is_test, regexp_matches(file_path, '{T.COMPAT_PATH}') AS is_compat FROM (SELECT DISTINCT file_path FROM symbols)""",
     "latency_percentiles": """SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90,
         round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type""",
-    "context_tokens": "SELECT chunk_type, coalesce(sum(length(content)), 0) // 4 AS tokens FROM chunks GROUP BY chunk_type",
+    "context_tokens": "SELECT chunk_type, (coalesce(sum(length(content)), 0) // 4)::BIGINT AS tokens FROM chunks GROUP BY chunk_type",
     "interval_match": """WITH c AS (SELECT DISTINCT file_path, chunk_type, chunk_id, start_line, end_line FROM chunks WHERE end_line >= start_line),
         s AS (SELECT DISTINCT file_path, node_id, start_line, end_line FROM symbols WHERE kind IN ('class', 'function', 'method') AND end_line >= start_line)
         SELECT chunk_type, count(*) AS n_pairs, count(DISTINCT s.node_id || '|' || s.start_line) AS n_definitions FROM c JOIN s ON c.file_path = s.file_path AND c.start_line <= s.end_line AND c.end_line >= s.start_line GROUP BY chunk_type""",

@@ -1,6 +1,8 @@
+from decimal import Decimal
+from pathlib import Path
+
 import duckdb
 import pytest
-from pathlib import Path
 
 import __spark_entry__ as entry
 from loamdex.queries import registered
@@ -9,7 +11,8 @@ NAMES = sorted(registered()[0])
 
 
 def canon(v):
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
+        v = float(v)
         return round(v, 5) if v == v else None
     return v
 
