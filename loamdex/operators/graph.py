@@ -163,13 +163,15 @@ def link(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     on the caller itself resolves nothing.
     """
     sym = symbols.where("node_id is not null and name is not null").groupBy("node_id").agg(F.min(F.struct("file_path", "start_line", "name")).alias("s")).select("node_id", "s.*")
+    st = Stages(symbols.sparkSession, "link")
+    sym = st.save(sym)
     raw = edges.where("source_id is not null and ((edge_type = 'CALLS' and target_id like 'call:%') or (edge_type = 'INHERITS' and target_id like 'symbol:%'))")
     raw = raw.select("source_id", F.col("target_id").alias("original"), "edge_type").distinct()
     raw = raw.withColumn("want", F.regexp_replace("original", r"^(call|symbol):", ""))
     file_of = sym.select(F.col("node_id").alias("source_id"), F.col("file_path").alias("file"))
-    raw = raw.join(file_of, "source_id", "left")
+    raw = st.save(raw.join(file_of, "source_id", "left"))
     # The name is asked for once per file and not once per edge: hot names shrink before the joins.
-    ask = raw.select("file", "want", (F.col("edge_type") == "CALLS").alias("is_call")).distinct()
+    ask = st.save(raw.select("file", "want", (F.col("edge_type") == "CALLS").alias("is_call")).distinct())
     in_file = sym.groupBy(F.col("file_path").alias("file"), F.col("name").alias("want")).agg(F.max(F.struct("start_line", "node_id")).alias("m"))
     r2 = ask.join(in_file, ["file", "want"]).select("file", "want", "is_call", F.lit(2).alias("rule"), F.col("m.node_id").alias("hit"))
     unique = sym.groupBy("name").agg(F.count("*").alias("n"), F.min("node_id").alias("hit")).where("n = 1").drop("n")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loamdex.functions import text as T, vectors as V
+from loamdex.session import Stages
 
 #: Candidates of each signal.
 CANDIDATES = 50
@@ -35,9 +36,10 @@ def term_rows(docs: DataFrame, key: str, words: Column, terms: list[str], stem:
     count = lambda p: F.size(F.filter("__w", lambda w: F.startswith(w, F.lit(p))))
     rows = docs.where(F.col(key).isNotNull()).select(key, (F.lit(0) if version is None else version).alias("__v"), F.coalesce(words, F.array().cast("array<string>")).alias("__w"))
     cols = [F.size("__w").alias("len"), *(count(p).alias(f"tf{i}") for i, p in enumerate(prefix))]
+    narrow = rows.select(key, "__v", *cols)
     if version is None:
-        return rows.select(key, *cols)
-    return rows.groupBy(key).agg(F.min(F.struct("__v", *cols)).alias("r")).select(key, "r.*").drop("__v")
+        return narrow.drop("__v")
+    return narrow.groupBy(key).agg(F.min(F.struct("__v", "len", *(f"tf{i}" for i in range(len(terms))))).alias("r")).select(key, "r.*").drop("__v")
 
 
 def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], limit: int = CANDIDATES, stem: Callable[[str], str] | None = None, version: Column | None = None) -> DataFrame:
@@ -52,23 +54,52 @@ def bm25(docs: DataFrame, key: str, words: Column, terms: list[str], limit: int
     none = docs.select(key, F.lit(0.0).alias("score")).limit(0)
     if not terms:
         return none
-    rows = term_rows(docs, key, words, terms, stem, version)
-    every = range(len(terms))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in every)).first()
-    seen = [i for i in every if stats[f"n{i}"]]
+    rows = Stages(docs.sparkSession, "terms").save(term_rows(docs, key, words, terms, stem, version))  # read twice
+    return _scored(rows, rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg")), key, len(terms), limit)
+
+
+def _scored(rows: DataFrame, corpus: DataFrame, key: str, n_terms: int, limit: int) -> DataFrame:
+    """Top rows of ``key, len, tf0, ...`` given the one-row corpus statistics ``n, avg``."""
+    every = range(n_terms)
+    counts = rows.agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in every)).first()
+    whole = corpus.first()
+    seen = [i for i in every if counts[f"n{i}"]]
     if not seen:
-        return none
+        return rows.select(key, F.lit(0.0).alias("score")).limit(0)
 
     def part(i: int) -> Column:
-        f, n = F.col(f"tf{i}"), stats[f"n{i}"]
-        idf = max(math.log((stats["n"] - n + 0.5) / (n + 0.5)), IDF_FLOOR)
-        return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(stats["avg"])))
+        f, n = F.col(f"tf{i}"), counts[f"n{i}"]
+        idf = max(math.log((whole["n"] - n + 0.5) / (n + 0.5)), IDF_FLOOR)
+        return F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(whole["avg"])))
 
     hit = rows.where(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in seen)))
     score = reduce(lambda x, y: x + y, map(part, seen))
     return _top(hit.select(key, F.round(score, 6).alias("score")), "score", key, limit)
 
 
+def build_postings(docs: DataFrame, key: str, words: Column, version: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Inverted index: ``term, key, tf`` in the order of terms, and ``key, len``.
+
+    Write both; in the sorted files a prefix of a term is a range that the parquet
+    reader can skip to. Repeated keys as in ``term_rows``.
+    """
+    rows = docs.where(F.col(key).isNotNull()).select(key, (F.lit(0) if version is None else version).alias("__v"), F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    if version is not None:
+        rows = rows.groupBy(key).agg(F.min(F.struct("__v", "w")).alias("r")).select(key, "r.w")
+    tf = rows.select(key, F.explode("w").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+    return tf.repartitionByRange("term", key).sortWithinPartitions("term", key), rows.select(key, F.size("w").alias("len"))
+
+
+def bm25_postings(postings: DataFrame, lengths: DataFrame, key: str, terms: list[str], limit: int = CANDIDATES) -> DataFrame:
+    """``bm25`` from an inverted index: only the postings of the terms are read."""
+    if not terms:
+        return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
+    match = [F.startswith("term", F.lit(t.lower())) for t in terms]
+    mine = postings.where(reduce(lambda x, y: x | y, match))
+    tf = mine.groupBy(key).agg(*(F.coalesce(F.sum(F.when(m, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, m in enumerate(match)))
+    return _scored(tf.join(lengths, key), lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")), key, len(terms), limit)
+
+
 def chunk_words(stemmed: bool = False) -> Column:
     """Tokens of the four searched columns of a chunk."""
     parts = [F.col("file_path"), F.col("content"), F.array_join(F.coalesce("identifiers", F.array().cast("array<string>")), " "), F.array_join(F.coalesce("identifier_tokens", F.array().cast("array<string>")), " ")]
@@ -153,18 +184,19 @@ def fetch_chunks(chunks: DataFrame, few: DataFrame) -> DataFrame:
     return rows.select("chunk_id", *(F.col(f"r.{c}").alias(c) for c in keep)).join(few, "chunk_id")
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, mode: str = "hybrid", stemmed: bool = False) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list[float] | None, limit: int = 5, mode: str = "hybrid", stemmed: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Best chunks for a query, with score and both ranks.
 
     ``mode`` is hybrid, lexical or semantic; semantic without a vector falls back
-    to lexical. Repeated chunks count once. Lexical hits that the index doesn't
-    give are looked for by substring.
+    to lexical. Repeated chunks count once. Where no word begins with a term, the
+    terms are looked for as substrings. ``index`` is what ``build_postings`` made
+    of the chunks; without it the chunks are read.
     """
     terms = T.query_terms(query)
     empty = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     lexical = near = empty
     if mode in ("hybrid", "lexical") or query_vector is None:
-        lexical = bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None, version=chunk_version())
+        lexical = bm25_postings(*index, "chunk_id", terms) if index else bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None, version=chunk_version())
         if lexical.isEmpty():
             lexical = like_fallback(chunks, "chunk_id", F.col("content"), F.array_join("identifiers", " "), terms).withColumn("score", F.col("score").cast("double"))
     if mode in ("hybrid", "semantic") and query_vector is not None:

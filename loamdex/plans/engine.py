@@ -42,6 +42,9 @@ class Engine:
         n = self.snapshot() + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.folder}/{n}/{name}")
+        chunks = self.spark.read.parquet(f"{self.folder}/{n}/chunks")
+        for name, df in zip(("postings", "lengths"), S.build_postings(chunks, "chunk_id", S.chunk_words(), S.chunk_version())):
+            df.write.mode("overwrite").parquet(f"{self.folder}/{n}/{name}")
         self.spark.range(1).select(F.lit(str(n)).alias("value")).write.mode("append").text(f"{self.folder}/pointer")
 
     # ------------------------------------------------------------ indexing
@@ -109,7 +112,7 @@ class Engine:
 
     def search(self, query: str, limit: int = 5, mode: str = "hybrid", expand: bool = False) -> DataFrame:
         vector = [float(x) for x in embed_text(query, DIM)]
-        found = S.search(self.table("chunks"), self.table("chunk_vectors"), query, vector, limit, mode)
+        found = S.search(self.table("chunks"), self.table("chunk_vectors"), query, vector, limit, mode, index=(self.table("postings"), self.table("lengths")))
         return S.attach_neighbours(found, self.edges(), self.table("symbols")) if expand else found
 
     def _nodes(self, part: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loamdex.functions import text as T, vectors as V
 from loamdex.operators import evaluate as EV, search as S
-from loamdex.session import table
+from loamdex.session import Stages, table
 
 # The questions asked of the tables.
 WORDS = ["cach", "schedul", "spelling", "megabyt"]
@@ -32,6 +32,13 @@ def lexical_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(_docs(spark, sf_dir), "doc_id", T.tokens(F.col("text")), WORDS)
 
 
+def postings_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_bm25_topk, from an inverted index that is written first."""
+    postings, lengths = S.build_postings(_docs(spark, sf_dir), "doc_id", T.tokens(F.col("text")))
+    st = Stages(spark, "postings")
+    return S.bm25_postings(st.save(postings), st.save(lengths), "doc_id", WORDS)
+
+
 def lexical_bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(_docs(spark, sf_dir), "doc_id", T.stemmed_tokens("text"), ["caches", "scheduler", "spellings"], stem=T.porter)
 
@@ -130,7 +137,7 @@ def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_bm25_topk, lexical_bm25_stemmed, chunks_bm25_topk, lexical_like_fallback, vector_cosine_topk, rrf_fusion, hybrid_search, search_with_neighbours,
+        lexical_bm25_topk, postings_bm25_topk, lexical_bm25_stemmed, chunks_bm25_topk, lexical_like_fallback, vector_cosine_topk, rrf_fusion, hybrid_search, search_with_neighbours,
         vector_knn_per_label, ndcg_eval, embed_documents, split_identifiers, query_classify, content_hash, path_flags, latency_percentiles, context_tokens, interval_match,
     )
 }
@@ -180,6 +187,7 @@ _LANG = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in T.LANGUAGES.items())
 
 SQL = {
     "lexical_bm25_topk": f"WITH {_bm25_sql('documents', 'doc_id', 'text', WORDS)} SELECT * FROM lex",
+    "postings_bm25_topk": f"WITH {_bm25_sql('documents', 'doc_id', 'text', WORDS)} SELECT * FROM lex",
     "chunks_bm25_topk": f"WITH {_CHUNKS}, {_bm25_sql('ch', 'chunk_id', _CHUNK_WORDS, _CODE_TERMS)} SELECT * FROM lex",
     "lexical_like_fallback": f"SELECT doc_id, sum(score)::BIGINT AS score FROM ({_LIKE}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50",
     "vector_cosine_topk": f"WITH {_SEM} SELECT * FROM sem",
