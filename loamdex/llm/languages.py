@@ -225,10 +225,10 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
     """
     names = label_names(codes)
     lang = named_language(F.col(label), names)
-    rank = F.row_number().over(W.partitionBy("__lang").orderBy(F.xxhash64(key), key))
-    docs = documents.select(key, text, lang.alias("__lang")).where(F.col("__lang").isNotNull())
-    docs = docs.withColumn("__rank", rank).where(F.col("__rank") <= TRAINING_DOCS)
-    parts = docs.select(F.col("__lang").alias("lang"), F.explode(sentences(F.col(text))).alias("s")).groupBy("lang", "s").count()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(key), key))
+    chosen = documents.select(key, lang.alias("lang")).where(F.col("lang").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= TRAINING_DOCS)
+    docs = documents.select(key, text).join(F.broadcast(chosen.drop("rank")), key)  # TRAINING_DOCS rows per language at most
+    parts = docs.select("lang", F.explode(sentences(F.col(text))).alias("s")).groupBy("lang", "s").count()
     parts = Stages(documents.sparkSession, "languages").save(parts)
     seeds = codes.select("lang", F.explode(F.split("sample", r"(?<=[.!?。！？])\s*")).alias("s"), F.lit(1).cast("long").alias("count"))
 
