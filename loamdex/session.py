@@ -60,12 +60,19 @@ class Stages:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python workers can import it."""
+    """Send this package to the executors once, so that their Python workers can import it.
+
+    The archive lies in the shared folder if that is a file system path; else the
+    driver makes it and Spark distributes it.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_loamdex_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="spark-")) / "loamdex.zip"
+    root, shared = Path(__file__).resolve().parent, shared_dir(spark)
+    folder = Path(shared.removeprefix("file://").removeprefix("file:")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp(prefix="spark-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / f"loamdex-{uuid.uuid4().hex}" / "loamdex.zip"
+    target.parent.mkdir()
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
