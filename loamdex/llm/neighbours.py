@@ -217,7 +217,7 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", first
     )
 
 
-def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int = ORDER, share: float = 0.5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int = ORDER, share: float = 0.75) -> DataFrame:
     """``key, rank, neighbour, cosine``: the k most similar other vectors of the same dim for every usable vector.
 
     Approximate: a neighbour must share one of the ``first`` pivots, and of the
