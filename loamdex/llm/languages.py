@@ -43,10 +43,13 @@ _STRUCTURE = (
     r"|[ \t]*+(?:>[ \t]*+)*+(?:(?:[-*+•]|\d{1,3}[.)])[ \t]++)?+)"
 )
 #: Inline code, marks of tokenizers, links, invisible characters, identifiers, paths, calls and
-#: numbers; a line end inside a sentence. Possessive, so that a word is looked at once.
+#: numbers; a line end inside a sentence. Possessive and chosen by the first character, so that a
+#: word is looked at once.
+_PATH = r"(?:[/.\\]++[A-Za-z0-9_]++)"
 _NAME = (
-    r"`[^`\n]*+`|<\|[^|>\n]*+\|>|\[[A-Z]++\]|[​-‏‪-‮⁠﻿]"
-    r"|(?<![A-Za-z0-9])_?(?:https?://\S++|[A-Za-z0-9]++(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|[A-Za-z0-9_]++\(\)|[a-z]++[A-Z][A-Za-z0-9]*+|[0-9]++)"
+    r"[`<\[​-‏‪-‮⁠﻿](?:(?<=`)[^`\n]*+`|(?<=<)\|[^|>\n]*+\|>|(?<=\[)[A-Z]++\]|(?<![`<\[]))"
+    rf"|(?<![A-Za-z0-9])_?(?:[a-z]++(?:[A-Z0-9_][A-Za-z0-9_]*+{_PATH}*+(?:\(\))?|{_PATH}++(?:\(\))?|\(\)|(?<=https?)://\S++)"
+    r"|[A-Z][A-Za-z0-9]*+(?:(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|\(\))|[0-9]++)"
     r"|\n(?<=[\p{L},;]\n)[ \t]*+(?=\p{Ll})"
 )
 _STOP = (".", "!", "?", "…", "。", "！", "？")
