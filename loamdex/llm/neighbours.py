@@ -10,6 +10,10 @@ leaves is ranked again by cosine similarity.
 A posting carries the pivot order and the unit vector in half precision, so a
 file is worked through where it lies. Files longer than ``BLOCK`` are cut into
 blocks and every pair of blocks is a task of its own, so no file is gathered.
+
+Equal vectors are indexed once and their keys joined back at the end, and no
+pivot is much like another, so that copies of a vector, or a dense cluster,
+cannot fill the pivot orders around it with ties.
 """
 
 from __future__ import annotations
@@ -27,28 +31,51 @@ from loamdex.session import Stages
 ORDER = 8
 #: Pivots per dimension: twice the square root of the number of vectors, within these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: A pivot has a lower cosine than this to every other; so many vectors are looked at per pivot wanted.
+ALIKE, CANDIDATES = 0.9, 4
 #: Rows of a posting file that one task compares with each other.
 BLOCK = 1024
+#: Parts that lists of keys are made into pairs in.
+SPREAD = 64
 #: Half precision moves a cosine by less than this.
 HALF_ERROR = 0.002
 
 
 def usable(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Distinct ``key, dim, embedding`` whose array has dim elements, none null or NaN, and not all zero."""
+    """``key, dim, embedding`` whose array has dim elements, none null or NaN, and not all zero."""
     e = F.col("embedding")
     fit = (F.size(e) == F.col("dim")) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x)) & F.exists(e, lambda x: x != 0)
-    return vectors.where(F.col(key).isNotNull() & (F.col("dim") > 0) & F.coalesce(fit, F.lit(False))).select(key, "dim", "embedding").distinct()
+    return vectors.where(F.col(key).isNotNull() & (F.col("dim") > 0) & F.coalesce(fit, F.lit(False))).select(key, "dim", "embedding")
 
 
-def choose_pivots(vectors: DataFrame, key: str = "chunk_id") -> dict[int, np.ndarray]:
-    """Per dim a sample of the vectors, ``MOST_PIVOTS`` at most, as unit rows."""
-    h = F.xxhash64(key, F.lit("pivot"))
+def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Per dim a sample of the distinct vectors ``rid, dim, embedding``, ``MOST_PIVOTS`` at most, as unit rows."""
     counted = vectors.groupBy("dim").count()
     most = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.ceil(2 * F.sqrt("count"))))
-    rank = F.row_number().over(W.partitionBy("dim").orderBy(h, "embedding"))
-    sample = vectors.withColumn("rank", rank).where(F.col("rank") <= MOST_PIVOTS)
-    rows = sample.join(counted, "dim").where(F.col("rank") <= most).orderBy("dim", "rank").select("dim", "embedding").toPandas()
-    return {int(d): _unit(np.stack(g["embedding"].to_numpy())) for d, g in rows.groupby("dim")}
+    rank = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("rid", F.lit("pivot")), "rid"))
+    sample = vectors.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES * MOST_PIVOTS)
+    sample = sample.join(counted.select("dim", most.alias("most")), "dim").where(F.col("rank") <= CANDIDATES * F.col("most"))
+    rows = sample.orderBy("dim", "rank").select("dim", "embedding", "most").toPandas()
+    return {int(d): _apart(_unit(np.stack(g["embedding"].to_numpy())), int(g["most"].iloc[0])) for d, g in rows.groupby("dim")}
+
+
+def _apart(x: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` rows that are not ``ALIKE`` to an earlier one; with less than ``ORDER`` of these, further rows.
+
+    So few pivots are no loss: of ``ORDER`` pivots any two vectors share enough to meet.
+    """
+    kept: list[int] = []
+    for s in range(0, len(x), 256):
+        part = x[s : s + 256]
+        free = (part @ x[kept].T < ALIKE).all(axis=1) if kept else np.ones(len(part), dtype=bool)
+        own = part @ part.T
+        for i in range(len(part)):
+            if free[i] and len(kept) < most:
+                kept.append(s + i)
+                free &= own[i] < ALIKE
+    if len(kept) < ORDER:
+        kept += [i for i in range(len(x)) if i not in set(kept)][: ORDER - len(kept)]
+    return x[kept]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -57,10 +84,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build_index(vectors: DataFrame, st: Stages, key: str = "chunk_id") -> DataFrame:
-    """Saved table ``rid, key, dim, pivots, unit`` of every usable vector."""
-    vectors = st.save(usable(vectors, key))
-    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(vectors, key))
+def build_index(vectors: DataFrame, st: Stages, key: str = "chunk_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved tables ``rid, pivots, unit`` and ``rid, dim, embedding`` of every distinct usable vector, and ``rid, key`` of who has it.
+
+    ``rid`` is a hash of 64 bits of the vector, so that copies need no join to be numbered.
+    """
+    named = usable(vectors, key).withColumn("rid", F.xxhash64("dim", "embedding"))
+    members = st.save(named.select("rid", key).distinct())
+    distinct = st.save(named.select("rid", "dim", "embedding").distinct())
+    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(distinct))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -71,10 +103,16 @@ def build_index(vectors: DataFrame, st: Stages, key: str = "chunk_id") -> DataFr
                 first = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
                 order = np.take_along_axis(first, order, 1).astype(np.int16)
-                yield pd.DataFrame({key: g[key].to_numpy(), "dim": int(dim), "pivots": list(order), "unit": [r.tobytes() for r in x.astype(np.float16)]})
+                yield pd.DataFrame({"rid": g["rid"].to_numpy(), "dim": int(dim), "pivots": list(order), "unit": [r.tobytes() for r in x.astype(np.float16)]})
+
+    return st.save(distinct.mapInPandas(run, "rid long, dim int, pivots array<smallint>, unit binary")), distinct, members
+
 
-    out = vectors.mapInPandas(run, f"{key} string, dim int, pivots array<smallint>, unit binary")
-    return st.save(out.withColumn("rid", F.monotonically_increasing_id()))
+def _blocks(members: DataFrame, key: str) -> DataFrame:
+    """``rid, blocks, block, keys``: who has a vector, in lists of about ``BLOCK`` keys."""
+    long_lists = members.groupBy("rid").count().where(F.col("count") > BLOCK).select("rid", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(long_lists, "rid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return m.groupBy("rid", "blocks", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(key).alias("keys"))
 
 
 def _file(*pivot: str) -> str:
@@ -177,7 +215,7 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", first
     none; a key with several vectors is paired by its best one, never with itself.
     """
     st = Stages(vectors.sparkSession, "pairs")
-    index = build_index(vectors, st, key)
+    index, distinct, members = build_index(vectors, st, key)
 
     def work(file, a, b):
         ra, oa, ua = a
@@ -199,22 +237,22 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", first
         return pd.DataFrame({"ra": ra[x[mine]], "rb": rb[y[mine]]})
 
     met = _per_tile(tiles(post(index, first, pairs=True)), work, "ra long, rb long")
-    exact = index.select("rid", F.col(key), "dim").join(st.save(met.select(F.explode(F.array("ra", "rb")).alias("rid"), F.struct("ra", "rb").alias("pair"))), "rid")
-    named = exact.groupBy("pair").agg(F.min(key).alias(f"{key}_a"), F.max(key).alias(f"{key}_b"), F.min("dim").alias("dim"))
-    named = named.where(F.col(f"{key}_a") != F.col(f"{key}_b"))
-    one = vectors.where(F.col("embedding").isNotNull()).select(F.col(key), "dim", "embedding").distinct()
-    for s in "ab":
-        side = one.select(F.col(key).alias(f"{key}_{s}"), "dim", F.transform("embedding", lambda v: v.cast("double")).alias(f"e_{s}"))
-        named = named.join(side, [f"{key}_{s}", "dim"])
+    pairs = st.save(met)
+    for r in ("ra", "rb"):
+        pairs = pairs.join(distinct.select(F.col("rid").alias(r), F.transform("embedding", lambda v: v.cast("double")).alias(f"e_{r}")), r)
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    cosine = dot("e_a", "e_b") / F.sqrt(dot("e_a", "e_a") * dot("e_b", "e_b"))
-    return (
-        named.where((F.size("e_a") == F.col("dim")) & (F.size("e_b") == F.col("dim")))
-        .withColumn("cosine", cosine)
-        .where(F.col("cosine") >= least)
-        .groupBy(f"{key}_a", f"{key}_b")
-        .agg(F.max("cosine").alias("cosine"))
-    )
+    cosine = dot("e_ra", "e_rb") / F.sqrt(dot("e_ra", "e_ra") * dot("e_rb", "e_rb"))
+    pairs = pairs.select("ra", "rb", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    lists = st.save(_blocks(members, key))
+    # Keys of one vector are pairs as well; of two blocks of one list only one order is taken.
+    a = lists.select(F.col("rid").alias("ra"), F.col("block").alias("i"), F.col("keys").alias("ka"))
+    b = lists.select(F.col("rid").alias("rb"), F.col("block").alias("j"), F.col("keys").alias("kb"))
+    copies = lists.where((F.col("blocks") > 1) | (F.size("keys") > 1)).select(F.col("rid").alias("ra"), F.col("block").alias("i"), F.col("keys").alias("ka"), "blocks", F.lit(1.0).alias("cosine"))
+    copies = copies.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))).drop("blocks").join(b.withColumnRenamed("rb", "ra"), ["ra", "j"])
+    copies = copies.where(F.lit(least <= 1)).repartition(SPREAD).select("cosine", F.explode("ka").alias("x"), "kb", "i", "j").select("cosine", "x", F.explode("kb").alias("y"), "i", "j").where("i <> j or x < y")
+    others = pairs.join(a, "ra").join(b, "rb").repartition(SPREAD).select("cosine", F.explode("ka").alias("x"), "kb").select("cosine", "x", F.explode("kb").alias("y")).where("x <> y")
+    every = others.unionByName(copies.select("cosine", "x", "y"))
+    return every.groupBy(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).agg(F.max("cosine").alias("cosine"))
 
 
 def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int = ORDER, share: float = 0.75) -> DataFrame:
@@ -225,7 +263,7 @@ def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int =
     cosine. Ties go to the smaller key. Fewer than k rows where fewer are met.
     """
     st = Stages(vectors.sparkSession, "nearest")
-    index = build_index(vectors, st, key)
+    index, _, members = build_index(vectors, st, key)
 
     def best(far, sim, own, other, itself):
         n = far.shape[1]
@@ -255,9 +293,16 @@ def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int =
         return pd.DataFrame({"q": q, "c": c, "s": s.astype(np.float32)})
 
     met = _per_tile(tiles(post(index, first, pairs=False)), work, "q long, c long, s float")
-    names = index.select("rid", F.col(key).alias("name"))
     met = met.groupBy("q", "c").agg(F.max("s").alias("s"))
-    top = met.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("rank") <= k)
-    top = top.join(names.select(F.col("rid").alias("q"), F.col("name").alias(key)), "q")
-    top = top.join(names.select(F.col("rid").alias("c"), F.col("name").alias("neighbour")), "c")
-    return top.select(key, "rank", "neighbour", F.col("s").cast("double").alias("cosine"))
+    top = met.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("rank") <= k).drop("rank")
+    # Of the keys of one vector no more than the first k + 1 can be among anyone's nearest, its own included.
+    heads = members.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy(key))).where(F.col("n") <= k + 1)
+    heads = st.save(heads.select(F.col("rid").alias("c"), F.col(key).alias("neighbour")))
+    near = top.join(heads, "c").unionByName(heads.select("c", F.col("c").alias("q"), F.lit(1.0).cast("float").alias("s"), "neighbour"))
+    own = F.col("q") == F.col("c")
+    first_ones = F.row_number().over(W.partitionBy("q").orderBy(F.desc(own), F.desc("s"), "neighbour"))
+    near = near.withColumn("n", first_ones).where(F.col("n") <= 2 * k + 1)
+    lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "neighbour", F.col("s").cast("double").alias("cosine"), own.alias("own")))).alias("near"))
+    rest = F.slice(F.filter("near", lambda x: ~(x["own"] & (x["neighbour"] == F.col(key)))), 1, k)
+    out = members.join(lists, members["rid"] == lists["q"]).select(key, F.posexplode(rest).alias("pos", "x"))
+    return out.select(key, (F.col("pos") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"))

@@ -34,6 +34,50 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     assert got == want | {("other", "other2")}
 
 
+def hot(copies=450, near=90, seed=3):
+    """A third of the rows are copies of one vector, and others lie close to it."""
+    x = planted()
+    r = np.random.default_rng(seed)
+    noise = r.normal(size=(near, x.shape[1]))
+    noise *= np.linalg.norm(x[7]) / np.linalg.norm(noise, axis=1, keepdims=True)
+    return np.concatenate([x, np.repeat(x[7:8], copies, 0), x[7] + noise * r.uniform(0.1, 0.3, (near, 1))]).astype(np.float32)
+
+
+def test_pairs_around_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 64)
+    x = hot()
+    s = cosines(x.astype(np.float64))
+    want = {(f"v{i:04}", f"v{j:04}") for i, j in zip(*np.where(np.triu(s >= 0.94, 1)))}
+    rows = N.similar_pairs(frame(spark, x), 0.94).collect()
+    got = {(r["chunk_id_a"], r["chunk_id_b"]) for r in rows}
+    assert len(rows) == len(got) and got <= want and len(got) / len(want) >= 0.999
+
+
+def test_pairs_in_a_dense_cluster(spark):
+    x = planted()
+    x[:300] = x[7] + np.random.default_rng(1).normal(size=(300, x.shape[1])) * 0.01
+    s = cosines(x.astype(np.float64))
+    got = N.similar_pairs(frame(spark, x), 0.94).count()
+    assert got / np.triu(s >= 0.94, 1).sum() >= 0.999
+
+
+def test_nearest_of_copies(spark):
+    x = hot()
+    s = np.round(cosines(x.astype(np.float64)), 3)
+    hit = total = 0
+    found = {}
+    for r in N.nearest(frame(spark, x), 10).collect():
+        found.setdefault(r["chunk_id"], []).append((r["rank"], r["neighbour"], r["cosine"]))
+    for i, row in enumerate(s):
+        mine = sorted(found[f"v{i:04}"])
+        assert [m[0] for m in mine] == list(range(1, 11)) and f"v{i:04}" not in {m[1] for m in mine}
+        hit += sum(c >= np.sort(row)[-10] - 0.003 for _, _, c in mine)
+        total += 10
+    assert hit / total >= 0.9
+    copies = [f"v{i:04}" for i in [7, *range(900, 1350)]]
+    assert [m[1] for m in sorted(found["v1000"])] == copies[:10] and [m[1] for m in sorted(found["v0007"])] == copies[1:11]
+
+
 def test_nearest_recall(spark):
     x = planted()
     s = cosines(x)
