@@ -35,10 +35,10 @@ LETTERS, LETTERS_WIDE = 10, 4
 #: Further spellings of the languages' names.
 MORE_NAMES = {"jp": "ja", "castellano": "es", "castilian": "es", "flemish": "nl", "vlaams": "nl", "brazilian": "pt"}
 
-#: Fenced listings, strings in triple quotes, block and line comments, indented listings, headings
-#: and rules; of other lines the quote and list marks.
+#: Fenced listings, strings in triple quotes and block comments that begin a line and are closed,
+#: line comments, indented listings, headings and rules; of other lines the quote and list marks.
 _STRUCTURE = (
-    r"(?m)^[ \t>]*+(```|~~~)(?s:.*?)(?:\n[ \t>]*+\1[^\n]*+|\z)|(\"\"\"|''')(?s:.*?)(?:\2|\z)|/\*(?s:.*?)(?:\*/|\z)"
+    r"(?m)^[ \t>]*+(```|~~~)(?s:.*?)(?:\n[ \t>]*+\1[^\n]*+|\z)|^[ \t]*+(?:[rRuUbBfF]{0,2}+(\"\"\"|''')(?s:.*?)\2|/\*(?s:.*?)\*/(?![\w*.`]))"
     r"|^(?:[ \t]*+//.*+|(?: {4}|\t)[ \t]*+(?![-*+•>]|\d{1,3}[.)]).++$|[ \t]*+(?:#{1,6}[ \t].*+|=+.*=+[ \t]*|[-=~*_]{3,}[ \t]*+)$"
     r"|[ \t]*+(?:>[ \t]*+)*+(?:(?:[-*+•]|\d{1,3}[.)])[ \t]++)?+)"
 )

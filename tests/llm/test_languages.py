@@ -23,6 +23,23 @@ def test_sentences(spark):
     assert got[1][0] == got[2][0] == []
 
 
+MARKS = r'''Copy the files in src/* first.
+It accepts */* here.
+It runs at */5 * * * * daily.
+See `/*` and `"""` there.
+A """ opens it.
+/* Never closed.
+"""Not closed.
+/* Every file of the root, and then at */5 daily.
+From a/* to b/*.py it goes, and */ ends.'''
+
+
+@pytest.mark.parametrize("text,n", [*((line + " ", 1) for line in MARKS.split("\n")), ("/* gone.\n gone too. */\n", 0), ('  """ gone.\ngone. """\n', 0), ("```\n/* open.\n```\n", 0)])
+def test_marks_in_a_line_are_no_listing(spark, text, n):
+    got = texts(spark, [(1, f"{text}Danach wird alles neu gebaut. Das dauert lange.", None, 0.0)]).select(L.sentences(F.col("text"))).first()[0]
+    assert [" ".join(x.split()) for x in got][n:] == ["Danach wird alles neu gebaut.", "Das dauert lange."]
+
+
 @pytest.mark.parametrize("label,want", [("en-US", "en"), (" Deutsch ", "de"), ("fre", "fr"), ("pt_BR", "pt"), ("Español (México)", "es"), ("日本語", "ja"), ("Brazilian Portuguese", "pt"), ("und", None), ("", None), (None, None), ("python", None), ("sv", None)])
 def test_labels(spark, fitted, label, want):
     names = L.label_names(fitted[1])
