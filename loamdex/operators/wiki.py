@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from loamdex.functions.text import file_name
 from loamdex.operators.graph import module_dependencies
 
-#: Lines that a diagram or a page list holds at most.
+#: Lines that a diagram holds at most, flows that are told, and steps in a part of a flow.
 NODES, LINKS, FLOWS, STEPS = 20, 30, 15, 20
 
 
@@ -28,12 +28,21 @@ def architecture_edges(edges: DataFrame) -> DataFrame:
 
 
 def workflows(edges: DataFrame) -> DataFrame:
-    """``source_id, steps``: the callers that come first by name, with the callees that come first."""
+    """``source_id, part_no, steps``: the callers that come first by name, with all their callees by name, ``STEPS`` in a part."""
     calls = edges.where("edge_type = 'CALLS'").select("source_id", "target_id").distinct()
     few = calls.select("source_id").distinct().orderBy("source_id").limit(FLOWS)
     mine = calls.join(F.broadcast(few), "source_id")  # FLOWS rows
-    rank = F.row_number().over(W.partitionBy("source_id").orderBy("target_id"))
-    return mine.withColumn("k", rank).where(F.col("k") <= STEPS).groupBy("source_id").agg(F.array_sort(F.collect_list("target_id")).alias("steps"))
+    numbered = _parts(mine, "source_id", [F.col("target_id")], STEPS)
+    return numbered.groupBy("source_id", "part_no").agg(F.array_sort(F.collect_list("target_id")).alias("steps"))
+
+
+def _parts(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
+    """``rows`` with ``k``, their number within the key, and ``part_no`` from 1, ``most`` rows each.
+
+    The window of a hot key is sorted with spilling; only a part is ever gathered.
+    """
+    numbered = rows.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    return numbered.withColumn("part_no", F.floor((F.col("k") - 1) / most).cast("int") + 1)
 
 
 def page_id(path) -> F.Column:
@@ -42,33 +51,47 @@ def page_id(path) -> F.Column:
 
 
 def module_pages(symbols: DataFrame, edges: DataFrame, most: int = 500, summarise: Callable | None = None) -> DataFrame:
-    """``page, content``: a Markdown page per file, with its definitions in line order and what it calls.
+    """``page, part_no, file_path, content``: Markdown pages of every file with definitions: what it says of itself, its
+    definitions in line order with their whole documentation, and what it calls.
 
-    A page lists ``most`` definitions and calls at most and says how many there
-    are. ``summarise`` may turn the content column into one with a summary.
+    Each part holds ``most`` definitions and ``most`` calls at most; a file has as many parts as
+    it takes. ``summarise`` may turn the content column into one with a summary.
     """
-    key = ["file_path"]
-    defs = symbols.where("file_path is not null and kind in ('class', 'function', 'method')").groupBy("file_path", "start_line", "name", "kind").agg(F.min("signature").alias("signature"), F.min("docstring").alias("docstring"))
-    rank = F.row_number().over(W.partitionBy(*key).orderBy("start_line", "name"))
-    line = F.concat(F.lit("### "), F.col("kind"), F.lit(" `"), F.col("name"), F.lit("`\n"), F.coalesce(F.concat(F.lit("`"), F.col("signature"), F.lit("`\n")), F.lit("")), F.coalesce(F.substring_index("docstring", "\n", 1), F.lit("")))
-    d = defs.withColumn("k", rank).groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", line.alias("t"))))).alias("d"))
-    file_of = symbols.where("file_path is not null").groupBy(F.col("node_id").alias("source_id")).agg(F.min("file_path").alias("file_path"))
-    calls = edges.where("edge_type = 'CALLS'").select("source_id", "target_id").join(file_of, "source_id").select("file_path", "target_id").distinct()
-    crank = F.row_number().over(W.partitionBy(*key).orderBy("target_id"))
-    c = calls.withColumn("k", crank).where(F.col("k") <= most).groupBy(*key).agg(F.array_sort(F.collect_list("target_id")).alias("c"))
+    key = ["file_path", "part_no"]
+    known = symbols.where("file_path is not null")
+    defs = known.where("kind in ('class', 'function', 'method')").groupBy("file_path", "start_line", "end_line", "name", "kind").agg(F.min("signature").alias("signature"), F.min("docstring").alias("docstring"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    line = F.concat(
+        F.lit("### "), F.col("kind"), F.lit(" `"), text(F.col("name")), F.lit("`\n"), text(F.concat(F.lit("Lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("\n"))),
+        text(F.concat(F.lit("`"), F.col("signature"), F.lit("`\n"))), text(F.col("docstring")),
+    )
+    numbered = _parts(defs.withColumn("t", line), "file_path", [F.col("start_line"), F.col("name"), F.col("kind"), F.col("end_line")], most)
+    d = numbered.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("d"))
+    file_of = known.groupBy(F.col("node_id").alias("source_id")).agg(F.min("file_path").alias("file_path"))
+    calls = edges.where("edge_type = 'CALLS' and target_id is not null").select("source_id", "target_id").join(file_of, "source_id").select("file_path", "target_id").distinct()
+    calls = calls.join(defs.select("file_path").distinct(), "file_path", "left_semi")
+    c = _parts(calls, "file_path", [F.col("target_id")], most).groupBy(*key).agg(F.array_sort(F.collect_list("target_id")).alias("c"))
+    own = F.when((F.col("kind") == "module") & (F.col("docstring") != ""), F.struct("start_line", "node_id", "docstring"))
+    about = known.groupBy("file_path").agg(F.min(own)["docstring"].alias("about"))
+    whole = defs.groupBy("file_path").agg(F.count("*").alias("n"))
+    none = F.array().cast("array<string>")
+    first = F.col("part_no") == 1
     body = F.concat(
-        F.lit("# "), file_name(F.col("file_path")), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" definitions\n\n"),
-        F.array_join(F.transform("d", lambda x: x["t"]), "\n\n"), F.lit("\n\n## Calls\n\n"), F.array_join(F.transform(F.coalesce("c", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"),
+        F.lit("# "), file_name(F.col("file_path")), F.when(first, F.lit("")).otherwise(F.concat(F.lit(", part "), F.col("part_no").cast("string"))), F.lit("\n\n`"), F.col("file_path"), F.lit("`\n\n"),
+        F.when(first, text(F.concat("about", F.lit("\n\n")))).otherwise(F.lit("")), F.col("n").cast("string"), F.lit(" definitions\n\n"),
+        F.array_join(F.coalesce(F.transform("d", lambda x: x["t"]), none), "\n\n"), F.lit("\n\n## Calls\n\n"), F.array_join(F.transform(F.coalesce("c", none), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"),
     )
-    out = d.join(c, key, "left").select(page_id(F.col("file_path")).alias("page"), "file_path", body.alias("content"))
+    out = d.join(c, key, "full_outer").join(whole, "file_path").join(about, "file_path")
+    out = out.select(page_id(F.col("file_path")).alias("page"), "part_no", "file_path", body.alias("content"))
     return summarise(out) if summarise else out
 
 
 def page_chunks(pages: DataFrame) -> DataFrame:
     """Pages as chunks of the type wiki, to be searched like code."""
     none = F.lit(None).cast("string")
+    name = F.concat("page", F.when(F.col("part_no") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("part_no").cast("string"))))
     return pages.select(
-        F.concat(F.lit("wiki:"), "page").alias("chunk_id"), none.alias("symbol_id"), F.concat(F.lit(".wiki/"), "page", F.lit(".md")).alias("file_path"), F.lit("wiki").alias("chunk_type"),
+        F.concat(F.lit("wiki:"), name).alias("chunk_id"), none.alias("symbol_id"), F.concat(F.lit(".wiki/"), name, F.lit(".md")).alias("file_path"), F.lit("wiki").alias("chunk_type"),
         "content", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.lit("markdown").alias("language"), F.sha2("content", 256).alias("content_hash"),
         F.lit(False).alias("is_definition"), F.array().cast("array<string>").alias("identifiers"), F.array().cast("array<string>").alias("identifier_tokens"),
     )

@@ -116,3 +116,21 @@ def test_ndcg(spark):
     d = spark.createDataFrame([("q", 1, 2), ("q", 1, 2), ("q", 3, 2), ("p", 12, 1), ("n", 1, 0)], "query string, rank int, n_targets int")
     got = {r["query"]: (round(r["ndcg"], 6), r["top1"]) for r in EV.ndcg(d).collect()}
     assert got["q"] == (round((1 + 0.5) / (1 + 1 / 1.5849625007), 6), 1) and got["p"] == (0.0, 0) and got["n"] == (0.0, 1)
+
+
+def test_wiki_holds_everything(spark):
+    from loamdex.operators import wiki as K
+
+    row = "node_id string, file_path string, kind string, name string, signature string, docstring string, start_line int, end_line int"
+    rows = [("file:a.py", "a.py", "module", "a", None, "About the file.\nAll of it.", 1, 99)] + [(f"a.py:f{i}", "a.py", "function", f"f{i}", None, f"First {i}.\nSecond {i}.", i, i + 1) for i in range(25)]
+    s = spark.createDataFrame(rows, row)
+    e = spark.createDataFrame([("a.py:f0", f"call:g{i:02}", "CALLS") for i in range(47)], "source_id string, target_id string, edge_type string")
+    pages = K.module_pages(s, e, most=10)
+    got = {r["part_no"]: r["content"] for r in pages.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and "About the file.\nAll of it." in got[1]
+    text = "\n".join(got.values())
+    assert all(f"### function `f{i}`\nLines {i}-{i + 1}\nFirst {i}.\nSecond {i}." in text for i in range(25)) and all(f"- `call:g{i:02}`" in text for i in range(47))
+    assert all(t.count("### ") <= 10 and t.count("- `") <= 10 for t in got.values())
+    assert K.page_chunks(pages).select("chunk_id").distinct().count() == 5
+    steps = K.workflows(e).orderBy("part_no").collect()
+    assert [x for r in steps for x in r["steps"]] == [f"call:g{i:02}" for i in range(47)] and max(len(r["steps"]) for r in steps) == K.STEPS
