@@ -48,6 +48,20 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int | None = None, keep_see
     return st.together(found) if found else front
 
 
+def reach_each(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """``origin, node_id, level``: ``reach`` of every seed (column ``origin``) by itself."""
+    st = Stages(seeds.sparkSession, "reach")
+    front = st.save(seeds.where("origin is not null").distinct().select("origin", F.col("origin").alias("node_id"), F.lit(0).alias("level")))
+    found = [front]
+    for level in range(1, depth + 1):
+        new = steps.join(front, F.col("a") == F.col("node_id")).select("origin", F.col("b").alias("node_id")).where("node_id is not null").distinct()
+        front = st.save(new.join(st.together(found), ["origin", "node_id"], "left_anti").withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            break
+        found.append(front)
+    return st.together(found)
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
     """Nodes within ``depth`` undirected hops, seeds included."""
     return reach(seeds, both_ways(edges, edge_types), depth)

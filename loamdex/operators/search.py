@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loamdex.functions import text as T, vectors as V
+from loamdex.operators.graph import both_ways, reach_each
 from loamdex.session import Stages
 
 #: Candidates of each signal.
@@ -206,14 +207,18 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
     return _top(cohere(boost(rows, query)).withColumn("score", F.round("score", 6)), "score", "chunk_id", limit)
 
 
-def attach_neighbours(results: DataFrame, edges: DataFrame, symbols: DataFrame, most: int = 4) -> DataFrame:
-    """``results`` with ``neighbours``: the nearest symbols of each result's symbol, as structs, by node_id."""
-    r = results.where(F.col("symbol_id").isNotNull()).select("chunk_id", F.col("symbol_id").alias("s"))
-    step = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    step = step.unionByName(step.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = step.join(F.broadcast(r), F.col("a") == F.col("s")).where("b <> s").select("chunk_id", "b").distinct()
+def neighbour_rows(results: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:
+    """``chunk_id, level, neighbour``: a row for every known symbol within ``depth`` hops of a result's symbol, as a struct."""
+    r = results.where(F.col("symbol_id").isNotNull()).select("chunk_id", F.col("symbol_id").alias("origin"))
+    st = Stages(results.sparkSession, "neighbours")
+    r = st.save(r)
+    near = reach_each(r.select("origin"), both_ways(edges), depth).where("level > 0")
     info = symbols.groupBy("node_id").agg(F.min(F.struct("kind", "name", "signature", "file_path", "start_line")).alias("i"))
-    named = near.join(info, near["b"] == info["node_id"]).select("chunk_id", F.struct("node_id", "i.*").alias("n"))
-    first = F.row_number().over(W.partitionBy("chunk_id").orderBy("n.node_id"))
-    lists = named.withColumn("k", first).where(F.col("k") <= most).groupBy("chunk_id").agg(F.array_sort(F.collect_list("n")).alias("neighbours"))
+    named = near.join(info, "node_id").select("origin", "level", F.struct("node_id", "i.*").alias("neighbour"))
+    return named.join(r, "origin").select("chunk_id", "level", "neighbour")
+
+
+def attach_neighbours(results: DataFrame, edges: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:
+    """``results`` with ``neighbours``: all that ``neighbour_rows`` gives for each, in one array by node_id."""
+    lists = neighbour_rows(results, edges, symbols, depth).groupBy("chunk_id").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
     return results.join(lists, "chunk_id", "left")

@@ -110,10 +110,14 @@ class Engine:
         raw = self.table("edges")
         return G.linked_edges(raw, G.link(self.table("symbols"), raw))
 
-    def search(self, query: str, limit: int = 5, mode: str = "hybrid", expand: bool = False) -> DataFrame:
+    def search(self, query: str, limit: int = 5, mode: str = "hybrid", expand: bool = False, depth: int = 1) -> DataFrame:
+        """The best chunks; with ``expand`` a row for each symbol within ``depth`` hops of a chunk's, in ``neighbour``."""
         vector = [float(x) for x in embed_text(query, DIM)]
         found = S.search(self.table("chunks"), self.table("chunk_vectors"), query, vector, limit, mode, index=(self.table("postings"), self.table("lengths")))
-        return S.attach_neighbours(found, self.edges(), self.table("symbols")) if expand else found
+        if not expand:
+            return found
+        more = S.neighbour_rows(found, self.edges(), self.table("symbols"), depth)
+        return found.join(more, "chunk_id", "left").orderBy(F.desc("score"), "chunk_id", "level", "neighbour.node_id")
 
     def _nodes(self, part: str) -> DataFrame:
         ends = self.edges().select(F.explode(F.array("source_id", "target_id")).alias("node_id"))

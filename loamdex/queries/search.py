@@ -68,8 +68,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_with_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.search(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_vectors"), CODE_QUERY, None, 20, "lexical")
-    more = S.attach_neighbours(found, table(spark, sf_dir, "edges"), table(spark, sf_dir, "symbols"))
-    return more.select("chunk_id", F.array_join(F.transform("neighbours", lambda n: n["node_id"]), " ").alias("neighbour_ids"))
+    more = S.neighbour_rows(found, table(spark, sf_dir, "edges"), table(spark, sf_dir, "symbols"))
+    return found.select("chunk_id").join(more, "chunk_id", "left").select("chunk_id", F.col("neighbour.node_id").alias("neighbour_id"))
 
 
 def vector_knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,16 @@ def test_neighbours(spark):
     assert [n["node_id"] for n in got["c1"]] == ["h", "x"] and got["c2"] is None
 
 
+def test_all_neighbours_to_any_depth(spark):
+    found = spark.createDataFrame([("c1", "m"), ("c2", "n0")], "chunk_id string, symbol_id string")
+    e = spark.createDataFrame([*(("m", f"n{i}", "CALLS") for i in range(30)), ("n7", "far", "CALLS"), ("far", "m2", "CALLS")], "source_id string, target_id string, edge_type string")
+    s = spark.createDataFrame([(x, "function", x, None, "a", 1) for x in ("m", "far", "m2", *(f"n{i}" for i in range(30)))], "node_id string, kind string, name string, signature string, file_path string, start_line int")
+    assert {r["chunk_id"]: len(r["neighbours"]) for r in S.attach_neighbours(found, e, s).collect()} == {"c1": 30, "c2": 1}
+    got = [(r["chunk_id"], r["neighbour"]["node_id"], r["level"]) for r in S.neighbour_rows(found, e, s, 2).collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[0] == "c1"} == {*(("c1", f"n{i}", 1) for i in range(30)), ("c1", "far", 2)}
+    assert len([g for g in got if g[0] == "c2"]) == 30
+
+
 def test_embedder_is_stable(spark):
     a = spark.createDataFrame([("parse the header",), ("parse a header",), ("",), (None,)], "t string").select(V.embedder(32)("t").alias("e")).collect()
     assert all(len(r["e"]) == 32 for r in a) and a[2]["e"] == a[3]["e"] == [0.0] * 32
