@@ -198,9 +198,8 @@ def says_something(doc: str, name: str, signature: str) -> bool:
 
 
 #: Decorators and comments, the head of the definition, and the quotes that open its documentation.
-_PY_HEAD = re.compile(
-    r"(?:\s*[@#][^\n]*\n)*\s*(?:async\s+)?def\b(?:[^:\[\](){}\"']|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])*:[ \t]*(?:#[^\n]*)?(?:\n[ \t]*)*[rRuU]?(\"\"\"|'''|\"|')"
-)
+_PY_SIGNATURE = re.compile(r"(?:\s*[@#][^\n]*\n)*\s*(?:async\s+)?def\b(?:[^:\[\](){}\"']|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])*:")
+_PY_HEAD = re.compile(_PY_SIGNATURE.pattern + r"[ \t]*(?:#[^\n]*)?(?:\n[ \t]*)*[rRuU]?(\"\"\"|'''|\"|')")
 
 
 def _python_doc(source: str) -> str | None:
@@ -228,6 +227,25 @@ def _python_doc(source: str) -> str | None:
     return body[:end].strip() if end >= 0 else None
 
 
+def _python_doc_below(text: str) -> str | None:
+    """``_python_doc`` of the first definition in a text that goes on after it.
+
+    Ever more lines are read until its head and the string after it are closed.
+    """
+    lines, n = re.sub(r"\r\n?", "\n", text).split("\n"), 200
+    while True:
+        part = "\n".join(lines[:n])
+        doc = _python_doc(part)
+        if doc is not None or n >= len(lines):
+            return doc
+        code = part.lstrip("\n")
+        m = _PY_HEAD.match(code)
+        closed = code.find(m[1], m.end()) >= 0 or len(m[1]) == 1 if m else _PY_SIGNATURE.match(code)
+        if closed:
+            return None
+        n *= 4
+
+
 def _first_code_line(source: str, start: int) -> int:
     """Line of the file on which the declaration stands: blank lines at the top of the window are not it."""
     for i, x in enumerate(re.sub(r"\r\n?", "\n", source).split("\n")):
@@ -278,7 +296,7 @@ def _inside(functions: DataFrame, files: DataFrame) -> DataFrame:
         out = []
         for d, s, n, sig, c in zip(docstring, source, name, signature, code):
             if not _good(d, n, sig, c):
-                d = _python_doc(s)
+                d = _python_doc(s) if "\n" in c.rstrip(" ") else _python_doc_below(s)
                 d = d if _good(d, n, sig, c) else None
             out.append(d)
         return pd.Series(out, dtype=object)
@@ -289,8 +307,9 @@ def _inside(functions: DataFrame, files: DataFrame) -> DataFrame:
     # Only the files of such rows are moved, as far as a Bloom filter of their paths can tell.
     paths = cut.select(F.col("file_path").alias("key")).distinct()
     files = may_exist(files.withColumn("key", F.col("file_path")), bloom_words(paths, cut.count())).where("maybe").select("file_path", "text")
-    below = F.array_join(F.slice(F.split("text", r"\r\n|\r|\n"), F.greatest("start_line", F.lit(1)), 200), "\n")
-    cut = cut.join(files, "file_path", "left").withColumn("source", F.coalesce(F.when(F.instr(below, F.col("name")) > 0, below), "code"))
+    lines, first = F.split("text", r"\r\n|\r|\n"), F.greatest("start_line", F.lit(1))
+    near, below = F.array_join(F.slice(lines, first, 200), "\n"), F.array_join(F.slice(lines, first, F.size(lines)), "\n")
+    cut = cut.join(files, "file_path", "left").withColumn("source", F.coalesce(F.when(F.instr(near, F.col("name")) > 0, below), "code"))
     both = functions.where(~one_line).withColumn("source", F.col("code")).unionByName(cut.drop("text"))
     return both.withColumn("documentation", read("docstring", "source", "name", "signature", "code")).where("documentation is not null")
 

@@ -80,3 +80,13 @@ def test_says_nothing(doc):
 ])
 def test_says_something(doc):
     assert D.says_something(doc, "drain_queue", "def drain_queue(item: int) -> bool:")
+
+
+@pytest.mark.parametrize("arguments,lines", [(0, 250), (230, 20), (0, 1900)])
+def test_long_python_docs_of_files_that_do_not_parse(spark, arguments, lines):
+    head = "def k(" + "".join(f"\n    a{i}," for i in range(arguments)) + "):"
+    doc = "\n".join(f"    Reads whatever is left, part {i}." for i in range(lines))
+    text = f'x = (\n{head}\n    """\n{doc}\n    """\n' + "y = 1\n" * 300
+    rows = [("file:b.py", "b.py", "module", "b", None, None, text, 1, "python", "x"), fn("b.py", "k", 2, head.split("\n")[0], "python"), fn("b.py", "none", 400 + lines, "y = 1", "python")]
+    got = run(spark, rows)
+    assert set(got) == {("b.py:k", 2)} and got[("b.py:k", 2)].endswith(f"part {lines - 1}.")
