@@ -1,13 +1,16 @@
 """Splitting oversized items at natural boundaries.
 
-Every line of an item belongs to a scope: the outermost definition, section,
-top-level entry or commit that it lies in. Two blocks of lines slide over the
-item; the cohesion at a gap is the cosine of the terms of the block above and
-the block below, where the scopes count as terms too, and much more than
-words. Gaps that no scope spans are valleys; of those, the gaps at which the
-grammar of the item confirms a beginning are the natural boundaries. A piece
-ends at the deepest valley that its size allows, and the next piece starts
-``overlap`` characters before that.
+Two blocks of lines slide over the lines of an item that are not blank; the
+cohesion at a gap is the cosine of the terms of the block above and the block
+below. Terms are the words of a line (identifiers fall into their parts), its
+shape (how far it is indented, how it begins and ends) and its paragraph. A gap
+where the cohesion falls, by more than is usual in this item, is a valley.
+Valleys alone tell where a boundary may be, to within one line; the grammar of
+the item moves a valley to the beginning of an item that lies that near and
+drops a valley without one, such as one inside a string or a listing. A
+beginning without a valley near is no boundary. A piece ends at the deepest
+valley that its size allows, and the next piece starts ``overlap`` characters
+before that.
 
 Each item is cut where it lies: nothing is shuffled.
 """
@@ -21,11 +24,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Lines in a block, and how much shared words count against shared scopes.
-BLOCK, WORDS = 6, 0.02
+#: Lines in a block: valleys are looked for with each size, and moved by no more than the smallest.
+BLOCKS = (1, 2)
+#: How many words of a line its paragraph counts for.
+PARAGRAPH = 3
+#: A valley may be shallower than the mean of its item by so many standard deviations.
+LENIENT = 1.0
 #: Lines that are counted at a time.
 STRETCH = 512
-#: Part of the largest size that a piece fills at least before it may end at a valley.
+#: Part of the largest size that a piece fills if a natural boundary allows; the higher, the fewer
+#: pieces, the lower, the deeper the valleys to choose from. It changes no boundary.
 FILL = 0.4
 
 _EOL = re.compile(r"\r\n|\r|\n")
@@ -45,6 +53,7 @@ def lines_of(content: str) -> list[tuple[int, int]]:
 # ---------------------------------------------------------------- where items begin
 
 _PY_STRING = re.compile(r"(?i)(?<!\w)[rbuft]{0,2}('''|\"\"\")")
+_PY_TOKEN = re.compile(r"#|'''|\"\"\"|'(?:\\.|[^'\\])*'?|\"(?:\\.|[^\"\\])*\"?|[()\[\]{}]")
 _PY_BEGIN = re.compile(r"(async\s+def|def|class)\s+\w")
 _C_STRINGS = {
     "js": r"`(?:\\.|[^`\\])*(?:`|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"",
@@ -105,21 +114,14 @@ def _python_begins(lines: list[str]) -> list[int]:
                 if end < 0:
                     break
                 at, open_string = end + 3, None
-                continue
-            c = x[at]
-            if c == "#":
+            m = _PY_TOKEN.search(x, at)
+            if not m or m[0] == "#":
                 break
-            if c in "'\"":
-                if x.startswith(c * 3, at):
-                    open_string, at = c * 3, at + 3
-                    continue
-                end = at + 1
-                while end < len(x) and x[end] != c:
-                    end += 2 if x[end] == "\\" else 1
-                at = end + 1
-                continue
-            depth = max(0, depth + (c in "([{") - (c in ")]}"))
-            at += 1
+            at, t = m.end(), m[0]
+            if t in ("'''", '"""'):
+                open_string = t
+            elif t[0] not in "'\"":
+                depth = max(0, depth + (1 if t in "([{" else -1))
     return begins
 
 
@@ -135,9 +137,10 @@ def _brace_begins(lines: list[str], ext: str) -> list[int]:
 
     bare = token.sub(blank, text).split("\n")
     comments: set[int] = set()
+    first = counted = 0
     for m in token.finditer(text):
         if m["comment"]:
-            first = text.count("\n", 0, m.start())
+            first, counted = first + text.count("\n", counted, m.start()), m.start()
             if not bare[first].strip():
                 comments.update(range(first, first + m[0].count("\n") + 1))
     pattern = {"js": _JS_BEGIN, "go": _GO_BEGIN, "rust": _RUST_BEGIN}.get(family, _C_BEGIN)
@@ -257,12 +260,39 @@ def item_lines(lines: list[str], chunk_type: str, path: str, language: str | Non
 # ---------------------------------------------------------------- cohesion
 
 
-def _slide(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    """Cosine of the term counts of the blocks above and below each of n lines; term ``cols[i]`` stands on line ``rows[i]``."""
+_WORD = re.compile(r"[^\W\d_]{2,}|\n")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _shape(line: str) -> tuple[str, ...]:
+    """Terms for how a line looks that is not blank: its indent, and the kinds of its first and last character."""
+    s = line.strip()
+    kind = lambda c: "w" if c.isalnum() else c
+    return f"indent {min(len(line) - len(line.lstrip()), 8)}", f"first {kind(s[0])}", f"last {kind(s[-1])}"
+
+
+def line_terms(lines: list[str], paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the line and of the term, for every word, shape and paragraph of lines that are not blank."""
+    ids: dict = {}
+    found = _WORD.findall(_HUMP.sub(" ", "\n".join(lines)).lower())
+    word = np.fromiter((-1 if w == "\n" else ids.setdefault(w, len(ids)) for w in found), np.int64, len(found))
+    rows = np.cumsum(word < 0)
+    more = np.array([(i, ids.setdefault((t,), len(ids))) for i, x in enumerate(lines) for t in _shape(x)], np.int64).reshape(-1, 2)
+    place = np.repeat(np.arange(len(lines)), PARAGRAPH)
+    rows, cols = np.concatenate([rows[word >= 0], more[:, 0], place]), np.concatenate([word[word >= 0], more[:, 1], len(ids) + paragraph[place]])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], cols[order]
+
+
+def cohesion(rows: np.ndarray, cols: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Cosine of the term counts of the ``block`` lines above and from line i on, for each of n lines (1 for the first).
+
+    Term ``cols[i]`` stands on line ``rows[i]``; rows ascend.
+    """
     out = np.zeros(n)
     for lo in range(0, n, STRETCH):
         hi = min(n, lo + STRETCH)
-        first, last = max(0, lo - BLOCK), min(n, hi + BLOCK)
+        first, last = max(0, lo - block), min(n, hi + block)
         a, b = np.searchsorted(rows, (first, last))
         if a == b:
             continue
@@ -271,59 +301,87 @@ def _slide(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         np.add.at(count, (rows[a:b] - first + 1, local), 1)
         count = np.cumsum(count, axis=0)
         i = np.arange(lo, hi) - first
-        above = count[i] - count[np.maximum(i - BLOCK, 0)]
-        below = count[np.minimum(i + BLOCK, last - first)] - count[i]
+        above = count[i] - count[np.maximum(i - block, 0)]
+        below = count[np.minimum(i + block, last - first)] - count[i]
         norm = np.sqrt((above * above).sum(1) * (below * below).sum(1))
         out[lo:hi] = (above * below).sum(1) / np.maximum(norm, 1e-9)
+    out[0] = 1
     return out
 
 
-def cohesion(text: str, scope: np.ndarray) -> np.ndarray:
-    """Similarity of the blocks above and below line i, for every line but the first (which gets 1).
+def depths(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far the cohesion falls at each gap below the nearest peaks on both sides, and below the lower of them.
 
-    ``text`` has its lines ended by a line feed; ``scope`` names each line's scope.
+    Both ends of the item count as peaks.
     """
-    n, ids, found = len(scope), {}, re.findall(r"[^\W\d_]{2,}|\n", text.lower())
-    term = np.fromiter((-1 if w == "\n" else ids.setdefault(w, len(ids)) for w in found), np.int64, len(found))
-    rows = np.cumsum(term < 0)
-    shared = _slide(rows[term >= 0], term[term >= 0], n)
-    out = (1 - WORDS) * _slide(np.arange(n), scope, n) + WORDS * shared
-    out[0] = 1
-    return out
-
-
-def depths(c: np.ndarray) -> np.ndarray:
-    """How far the cohesion falls at each gap below the nearest peaks on both sides."""
     n = len(c)
-    out = np.zeros(n)
-    left = np.copy(c)
+    left, right = c.tolist(), c.tolist()
     for i in range(1, n):
-        left[i] = max(c[i], left[i - 1]) if c[i] <= c[i - 1] else c[i]
-    right = np.copy(c)
-    for i in range(n - 2, -1, -1):
-        right[i] = max(c[i], right[i + 1]) if c[i] <= c[i + 1] else c[i]
-    out[1:] = (left[1:] - c[1:]) + (right[1:] - c[1:])
-    return out
+        if c[i] <= c[i - 1]:
+            left[i] = left[i - 1]
+    following = 1.0
+    for i in range(n - 1, -1, -1):
+        if c[i] <= (c[i + 1] if i + 1 < n else 1.0):
+            right[i] = following
+        following = right[i]
+    rise = np.array(left) - c, np.array(right) - c
+    out, least = rise[0] + rise[1], np.minimum(*rise)
+    out[0] = least[0] = 0
+    return out, least
+
+
+def valleys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the lines (not the first, none blank) begin below a valley, and how deep each gap lies.
+
+    Nothing but the terms of the lines decides. A valley is a lowest point of the cohesion under
+    one of ``BLOCKS`` that falls on both sides, or to nothing, and by no less than the item's mean depth
+    without ``LENIENT`` standard deviations.
+    """
+    full = np.array([i for i, x in enumerate(lines) if x.strip()], np.int64)
+    found, deepest = np.zeros(len(lines), bool), np.zeros(len(lines))
+    if not len(full):
+        return np.flatnonzero(found), deepest
+    rows, cols = line_terms([lines[i] for i in full], np.cumsum(np.diff(full, prepend=-1) > 1))
+    for block in BLOCKS:
+        c = cohesion(rows, cols, len(full), block)
+        d, lower = depths(c)
+        least = d[1:].mean() - LENIENT * d[1:].std() if len(d) > 1 else 0
+        around = np.concatenate([[np.inf], c, [np.inf]])
+        low = (c <= around[:-2] + 1e-6) & (c <= around[2:] + 1e-6) & ((lower > 1e-6) | (c < 1e-6))
+        found[full] |= low & (d >= least)
+        deepest[full] = np.maximum(deepest[full], d)
+    found[full[0]] = found[0] = False
+    return np.flatnonzero(found), deepest
 
 
 def analyse(content: str, chunk_type: str, path: str, language: str | None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, cohesion, depth and natural boundaries (line numbers from 0) of a content."""
+    """Lines, valleys, depth of every gap, and natural boundaries (line numbers from 0) of a content.
+
+    A natural boundary is the beginning of an item at a valley or one line from it, blank ones
+    not counted, and as deep as the deepest valley there.
+    """
     spans = lines_of(content)
     lines = [content[s:e] for s, e in spans]
+    low, depth = valleys(lines)
     begins = np.array(item_lines(lines, chunk_type, path, language), dtype=np.int64)
-    scope = np.zeros(len(lines), np.int64)
-    scope[begins] = 1
-    c = cohesion("\n".join(lines), np.cumsum(scope))
-    valley = np.flatnonzero(c <= WORDS)  # no scope spans these gaps
-    return spans, c, depths(c), np.intersect1d(valley[valley > 0], begins)
-
-
-def pieces(content: str, spans: list[tuple[int, int]], c: np.ndarray, depth: np.ndarray, natural: np.ndarray, max_size: int, overlap: int) -> list[tuple[int, int]]:
+    begins = begins[begins > 0]
+    full = np.array([i for i, x in enumerate(lines) if x.strip()], np.int64)
+    at_valley = np.full(len(full) + 2, -1.0)
+    at_valley[np.searchsorted(full, low) + 1] = depth[low]
+    k = np.searchsorted(full, begins)
+    best = np.maximum(np.maximum(at_valley[k], at_valley[k + 1]), at_valley[np.minimum(k + 2, len(full) + 1)])
+    natural = begins[best >= 0]
+    depth[natural] = best[best >= 0]
+    return spans, low, depth, natural
+
+
+def pieces(content: str, spans: list[tuple[int, int]], low: np.ndarray, depth: np.ndarray, natural: np.ndarray, max_size: int, overlap: int, fill: float = FILL) -> list[tuple[int, int]]:
     """``(start, end)`` of the pieces, in characters: none longer than ``max_size``,
     each but the first starting exactly ``overlap`` before the end of the one above.
 
-    A piece ends at the deepest natural boundary it can reach, else at the deepest
-    other line, else at the last blank, else at the limit; it must be longer than the overlap.
+    A piece ends at the deepest natural boundary it can reach, else at the deepest valley,
+    else at the deepest other line, else at the last blank, else at the limit; it must be
+    longer than the overlap. Of equally deep ones the last is taken.
     """
     overlap = max(0, min(overlap, max_size - 1))
     starts = np.array([s for s, _ in spans])
@@ -331,11 +389,11 @@ def pieces(content: str, spans: list[tuple[int, int]], c: np.ndarray, depth: np.
     while n - at > max_size:
         limit = at + max_size
         cut = 0
-        for least in (int(max_size * FILL), overlap + 1):
+        for least in (int(max_size * fill), overlap + 1):
             lo, hi = np.searchsorted(starts, at + max(least, overlap + 1)), np.searchsorted(starts, limit, "right")
-            for gaps in (natural[(natural >= lo) & (natural < hi)], np.arange(max(lo, 1), hi)):
+            for gaps in (natural[(natural >= lo) & (natural < hi)], low[(low >= lo) & (low < hi)], np.arange(max(lo, 1), hi)):
                 if len(gaps):
-                    best = depth[gaps] - c[gaps]
+                    best = depth[gaps]
                     cut = int(starts[gaps[np.flatnonzero(best == best.max())[-1]]])
                     break
             if cut:
@@ -374,10 +432,10 @@ def split_items(chunks: DataFrame, limits: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.itertuples():
-                spans, c, depth, natural = analyse(r.content, r.chunk_type, r.file_path or "", r.language)
+                spans, low, depth, natural = analyse(r.content, r.chunk_type, r.file_path or "", r.language)
                 starts = np.array([s for s, _ in spans])
                 first = 1 if r.start_line is None or r.start_line != r.start_line else int(r.start_line)
-                for no, (s, e) in enumerate(pieces(r.content, spans, c, depth, natural, int(r.max_size), int(r.overlap))):
+                for no, (s, e) in enumerate(pieces(r.content, spans, low, depth, natural, int(r.max_size), int(r.overlap))):
                     line = lambda at: first + int(np.searchsorted(starts, at, "right")) - 1
                     rows.append((r.chunk_id, no, r.content[s:e], line(s), line(e - 1), r.chunk_type))
             yield pd.DataFrame(rows, columns=["chunk_id", "piece_no", "content", "start_line", "end_line", "chunk_type"])
