@@ -1,25 +1,27 @@
 """Functions paired with their documentation.
 
-Comment spans and statement spans are read from the file rows on their own,
-function spans from the function rows on their own. An as-of join by file and
-line gives every function the nearest span that ends above it: a comment is
-its documentation, a statement or a blank line in between rejects it. Python
-functions carry their documentation inside, as the first string of the body.
+Comment spans, documentation strings and statement spans are read from texts on
+their own, function spans from the function rows on their own. A text is that of
+a file, or of a row itself, or its docstring column. An as-of join by text and
+line gives every function the nearest span: above its declaration, or, in
+Python, below it. A comment or string is its documentation; a statement or a
+blank line in between, or another function's head, rejects it.
 """
 
 from __future__ import annotations
 
 import ast
+import inspect
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loamdex.operators.orphans import bloom_words, may_exist
+from loamdex.session import Stages
 
-#: Lines of a file that are joined in one group. Spans are repeated at the start
-#: of each block, so a file of any length is cut without losing a neighbour.
+#: Lines of a text that are joined in one group. The span next to a block is repeated
+#: in it, so a text of any length is cut without losing a neighbour.
 BLOCK = 4096
 
 #: What counts as a doc-string column that was lost.
@@ -103,26 +105,113 @@ def spans(path: str, text: str) -> Iterator[tuple[int, str | None]]:
             yield n + 1, None
 
 
-def _file_spans(files: DataFrame) -> DataFrame:
-    """``file_path, version, line, comment, block`` of every span, repeated at block starts."""
+#: Text without a meaning of its own, and what follows it in Python source: a comment, a string, a bracket, a continued
+#: line, a colon or a line end.
+_PY_TOKEN = re.compile(
+    r"([^#\"'()\[\]{}\\:\n]*+)(#[^\n]*|\"\"\"[^\"\\]*+(?:(?:\\.|\"(?!\"\"))[^\"\\]*+)*+(?:\"\"\"|\Z)|'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+(?:'''|\Z)"
+    r"|\"(?:\\.|[^\"\\\n])*+\"?|'(?:\\.|[^'\\\n])*+'?|[()\[\]{}]|\\\n?|[:\n]|\Z)",
+    re.S,
+)
+#: Lines of one statement each, without strings, comments and open brackets, that are no heads; and blank lines.
+_PY_PLAIN = re.compile(
+    r"(?:[ \t]*+(?!(?:async|def|class)\b)[^\s#\"'\\()\[\]{}][^#\"'\\()\[\]{}\n]*+(?:[(\[{][^#\"'\\()\[\]{}\n]*+[)\]}][^#\"'\\()\[\]{}\n]*+)*+\n|[ \t]*+\n)++"
+)
+_PY_HEAD = re.compile(r"\s*(?:async\s+def|def|class)\s+(\w+)")
+_PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]", re.M)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, version, text in zip(b["file_path"], b["version"], b["text"]):
-                block, before = 0, None
-                for line, comment in spans(path, text):
-                    while line // BLOCK > block:
-                        block += 1
-                        if before is not None:
-                            rows.append((path, version, *before, block))
-                    before = (line, comment)
-                    rows.append((path, version, line, comment, block))
-                if before is not None:
-                    rows.append((path, version, *before, block + 1))
-            yield pd.DataFrame(rows, columns=["file_path", "version", "line", "comment", "block"])
-
-    return files.mapInPandas(run, "file_path string, version long, line int, comment string, block int")
+
+def _string_value(token: str) -> str | None:
+    """What a statement of string literals says; None if it is no plain text or has no end."""
+    try:
+        value = ast.literal_eval(f"({token})")
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
+        m = re.fullmatch(r"(?s)[rRuU]?(\"\"\"|'''|\"|')(.*)\1", token.strip())
+        value = m[2] if m else None
+    return inspect.cleandoc(value) if isinstance(value, str) else None
+
+
+def python_spans(text: str) -> Iterator[tuple[int, str | None, str | None]]:
+    """``(position, string or None, name)`` of the statements of a Python text, in order.
+
+    The position is twice the line, counted from 1, and one more where a statement follows
+    a head on its line. A statement that is only a string has its text and the name in the
+    head right before it, if a head is. Heads of definitions and runs of other statements
+    have neither; blank lines and comments give nothing. A definition that begins a line
+    ends any bracket left open, so texts that don't parse are read as well.
+    """
+    text = re.sub(r"\r\n?", "\n", text)
+    n, at, line, fresh, run = len(text), 0, 1, True, False
+    pending: str | None = None
+    while at < n:
+        skipped = _PY_PLAIN.match(text, at) if fresh else None
+        if skipped:
+            bare = skipped[0].lstrip()
+            if bare:
+                if not run:
+                    yield 2 * (line + skipped[0].count("\n") - bare.count("\n") ), None, None
+                pending, run = None, True
+            line += skipped[0].count("\n")
+            at = skipped.end()
+            continue
+        # One statement, or a head up to its colon.
+        start, begin, depth, plain, head, first, last = at, line, 0, True, None, -1, -1
+        while at < n:
+            m = _PY_TOKEN.match(text, at)
+            gap, t = m[1], m[2]
+            c, at = t[:1], m.end()
+            if c == '"' or c == "'":
+                bare = gap.strip()
+                if bare and bare.lower() not in ("r", "u", "b", "f", "t", "rb", "br", "rf", "fr"):
+                    plain = False
+                if first < 0:
+                    first = m.start(2) - len(gap.lstrip())
+                last = at
+                line += t.count("\n")
+                continue
+            if plain and gap and not gap.isspace():
+                plain = False
+            if c == "\n":
+                line += 1
+                if depth == 0 or _PY_HEAD.match(text[at : at + 200].split("\n", 1)[0]):
+                    break
+                if plain and first < 0:
+                    begin = line
+            elif c == ":":
+                plain = False
+                head = _PY_HEAD.match(text, start) if depth == 0 else None
+                if head:
+                    break
+            elif c == "\\":
+                line += len(t) - 1
+            elif c and c in "([{":
+                depth, plain = depth + 1, False
+            elif c and c in ")]}":
+                depth, plain = max(0, depth - 1), False
+        if head:
+            yield 2 * begin, None, None
+            pending, run = head[1], False
+        elif plain and first >= 0 and (said := _string_value(text[first:last])) is not None:
+            yield 2 * begin + (not fresh), said, pending
+            pending, run = None, False
+        elif first >= 0 or not plain:
+            if not run:
+                yield 2 * begin + (not fresh), None, None
+            pending, run = None, True
+        fresh = not head
+
+
+def _in_blocks(spans: list[tuple]) -> Iterator[tuple[int, tuple]]:
+    """``(block, span)``; spans are ordered by their first field, the order, which is twice the line or its negative."""
+    block, before = None, None
+    for s in spans:
+        mine = s[0] // (2 * BLOCK)
+        while block is not None and block < mine:
+            block += 1
+            yield block, before
+        block, before = mine, s
+        yield mine, s
+    if before is not None:
+        yield block + 1, before
 
 
 # ---------------------------------------------------------------- what documentation says
@@ -197,146 +286,126 @@ def says_something(doc: str, name: str, signature: str) -> bool:
     return any(w not in _FILLER and _stem(w) not in known for w in left)
 
 
-#: Decorators and comments, the head of the definition, and the quotes that open its documentation.
-_PY_SIGNATURE = re.compile(r"(?:\s*[@#][^\n]*\n)*\s*(?:async\s+)?def\b(?:[^:\[\](){}\"']|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])*:")
-_PY_HEAD = re.compile(_PY_SIGNATURE.pattern + r"[ \t]*(?:#[^\n]*)?(?:\n[ \t]*)*[rRuU]?(\"\"\"|'''|\"|')")
+def _first_code_line(source: str) -> int:
+    """Lines above the declaration: blank lines at the top of the window are not it."""
+    return next((i for i, x in enumerate(re.sub(r"\r\n?", "\n", source).split("\n")) if x.strip()), 0)
 
 
-def _python_doc(source: str) -> str | None:
-    """First string of the body of the first definition in the source.
+def _def_line(source: str) -> int:
+    """Lines above the first ``def``, such as decorators."""
+    text = re.sub(r"\r\n?", "\n", source)
+    m = _PY_DEF.search(text)
+    return text.count("\n", 0, m.start()) if m else _first_code_line(text)
+
+
+def _declaration(code: str) -> str:
+    return next((x for x in code.split("\n") if x.strip() and not x.strip().startswith(("@", "#"))), "")
 
-    Read by the parser where the source parses, else by its opening quotes.
-    """
-    lines = re.sub(r"\r\n?", "\n", source).split("\n")
-    start = next((i for i, x in enumerate(lines) if x.strip()), 0)
-    indent = len(lines[start]) - len(lines[start].lstrip()) if lines else 0
-    code = "\n".join(x[indent:] if not x[:indent].strip() else x for x in lines[start:])
-    try:
-        for node in ast.parse(code).body:
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                return ast.get_docstring(node)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        pass
-    m = _PY_HEAD.match(code)
-    if not m:
-        return None
-    body = code[m.end() :]
-    end = body.find(m[1])
-    if len(m[1]) == 1 and (end < 0 or "\n" in body[:end]):
-        return None
-    return body[:end].strip() if end >= 0 else None
-
-
-def _python_doc_below(text: str) -> str | None:
-    """``_python_doc`` of the first definition in a text that goes on after it.
-
-    Ever more lines are read until its head and the string after it are closed.
-    """
-    lines, n = re.sub(r"\r\n?", "\n", text).split("\n"), 200
-    while True:
-        part = "\n".join(lines[:n])
-        doc = _python_doc(part)
-        if doc is not None or n >= len(lines):
-            return doc
-        code = part.lstrip("\n")
-        m = _PY_HEAD.match(code)
-        closed = code.find(m[1], m.end()) >= 0 or len(m[1]) == 1 if m else _PY_SIGNATURE.match(code)
-        if closed:
-            return None
-        n *= 4
-
-
-def _first_code_line(source: str, start: int) -> int:
-    """Line of the file on which the declaration stands: blank lines at the top of the window are not it."""
-    for i, x in enumerate(re.sub(r"\r\n?", "\n", source).split("\n")):
-        if x.strip():
-            return start + i
-    return start
+
+def _good(doc: str | None, name: str, signature: str) -> bool:
+    return bool(doc) and doc.strip().lower() not in _LOST and says_something(doc, name, signature)
 
 
 # ---------------------------------------------------------------- the operator
 
+_SPAN = "file_path string, version long, block int, at int, is_fn int, text string, name string, node_id string, start_line int, signature string, of_file boolean"
+_COLUMNS = [c.split(" ")[0] for c in _SPAN.split(", ")]
 
-def documented(symbols: DataFrame) -> DataFrame:
-    """``node_id, start_line, file_path, language, signature, code, documentation``
-    of every function and method that has documentation worth the name.
 
-    Rows without code or start_line and repeated rows are left out; a node_id with two definitions
-    gives a row for each. A null file_path or language is read from the node_id.
-    Where a file row was stored in several versions, any version may hold the comment.
+def _path() -> Column:
+    return F.coalesce("file_path", F.regexp_replace(F.substring_index("node_id", ":", 1), "^file:", ""))
+
+
+def _functions(symbols: DataFrame) -> DataFrame:
+    return symbols.where(F.col("kind").isin("function", "method") & F.col("node_id").isNotNull() & F.col("start_line").isNotNull() & (F.trim("source_code") != ""))
+
+
+def _spans_and_points(symbols: DataFrame) -> DataFrame:
+    """One pass over the table: the spans of every text, and the functions as points in the texts that may hold their documentation.
+
+    ``at`` orders a text such that what belongs to a function comes before it: twice the line, or
+    in Python its negative. Points in the text of a file have no version yet.
     """
-    path = F.coalesce("file_path", F.regexp_replace(F.substring_index("node_id", ":", 1), "^file:", ""))
-    python = F.coalesce(F.col("language"), F.lit("")).isin("python") | path.rlike(r"\.pyi?$")
-    functions = (
-        symbols.where(F.col("kind").isin("function", "method") & F.col("node_id").isNotNull() & F.col("start_line").isNotNull() & (F.trim("source_code") != ""))
-        .select("node_id", "start_line", path.alias("file_path"), "name", "language", "signature", "docstring", "source_code", python.alias("python"))
-    )
-    files = symbols.where(F.col("node_id").startswith("file:") & F.col("source_code").isNotNull()).select(path.alias("file_path"), F.col("source_code").alias("text"))
-    inside = _inside(functions.where("python"), files.where(F.col("file_path").rlike(r"\.pyi?$")))
-    above = _above(functions.where("not python"), files.where(~F.col("file_path").rlike(r"\.(pyi?|ya?ml|toml|md|log|json)$")))
-    keep = ["node_id", "start_line", "file_path", "language", "signature", "code", "documentation"]
-    best = F.row_number().over(W.partitionBy("node_id", "start_line").orderBy(F.length("documentation").desc(), "documentation", F.coalesce("signature", F.lit("")), "code"))
-    return inside.select(*keep).union(above.select(*keep)).withColumn("r", best).where("r = 1").drop("r")
-
-
-def _good(doc: str | None, name: str, signature: str | None, code: str) -> bool:
-    if not doc or doc.strip().lower() in _LOST:
-        return False
-    if not signature:  # the declaration's first line
-        signature = next((x for x in code.split("\n") if x.strip() and not x.strip().startswith(("@", "#"))), "")
-    return says_something(doc, name or "", signature)
-
-
-def _inside(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """Python: the docstring column, or the string in the source; of a row that
-    holds only the declaration's line, the string in the file below it."""
+    python = F.coalesce(F.col("language"), F.lit("")).isin("python") | F.col("path").rlike(r"\.pyi?$")
+    is_file = F.col("node_id").startswith("file:") & F.col("source_code").isNotNull() & ~F.col("kind").isin("function", "method") & ~F.col("path").rlike(r"\.(ya?ml|toml|md|log|json)$")
+    functions = _functions(symbols).select(_path().alias("path"), "node_id", "start_line", "name", "language", "signature", "docstring", "source_code", F.lit(True).alias("fn"))
+    files = symbols.withColumn("path", _path()).where(is_file).select("path", "node_id", "start_line", "name", "language", "signature", "docstring", "source_code", F.lit(False).alias("fn"))
+    rows = functions.unionByName(files).withColumn("python", python).withColumn("version", F.xxhash64("fn", "source_code", "docstring", F.when(F.col("fn"), F.struct("node_id", "start_line"))))
 
-    @F.pandas_udf("string")
-    def read(docstring: pd.Series, source: pd.Series, name: pd.Series, signature: pd.Series, code: pd.Series) -> pd.Series:
-        out = []
-        for d, s, n, sig, c in zip(docstring, source, name, signature, code):
-            if not _good(d, n, sig, c):
-                d = _python_doc(s) if "\n" in c.rstrip(" ") else _python_doc_below(s)
-                d = d if _good(d, n, sig, c) else None
-            out.append(d)
-        return pd.Series(out, dtype=object)
-
-    functions = functions.withColumnRenamed("source_code", "code")
-    one_line = ~F.rtrim("code").contains("\n")
-    cut = functions.where(one_line)
-    # Only the files of such rows are moved, as far as a Bloom filter of their paths can tell.
-    paths = cut.select(F.col("file_path").alias("key")).distinct()
-    files = may_exist(files.withColumn("key", F.col("file_path")), bloom_words(paths, cut.count())).where("maybe").select("file_path", "text")
-    lines, first = F.split("text", r"\r\n|\r|\n"), F.greatest("start_line", F.lit(1))
-    near, below = F.array_join(F.slice(lines, first, 200), "\n"), F.array_join(F.slice(lines, first, F.size(lines)), "\n")
-    cut = cut.join(files, "file_path", "left").withColumn("source", F.coalesce(F.when(F.instr(near, F.col("name")) > 0, below), "code"))
-    both = functions.where(~one_line).withColumn("source", F.col("code")).unionByName(cut.drop("text"))
-    return both.withColumn("documentation", read("docstring", "source", "name", "signature", "code")).where("documentation is not null")
-
-
-def _above(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """Other languages: the comment that ends right above the declaration or its annotations."""
-
-    @F.pandas_udf("int")
-    def declared(source: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([_first_code_line(s, int(n)) for s, n in zip(source, start)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.itertuples(index=False):
+                sign = -1 if r.python else 1
+                # spans: (at, text, name)
+                found: list[tuple[int, str | None, str | None]] = []
+                points: list[tuple] = []
+                if r.fn:
+                    start = int(r.start_line)
+                    line = start + (_def_line(r.source_code) if r.python else _first_code_line(r.source_code))
+                    name, signature = r.name or "", r.signature or _declaration(r.source_code)
+                    points = [(sign * 2 * line, None, name, r.node_id, start, signature)]
+                    block = points[0][0] // (2 * BLOCK)
+                    out.append((r.path, None, block, points[0][0], 1, *points[0][1:], True))
+                    if not r.python:
+                        continue
+                    if _good(r.docstring, name, signature):
+                        found = [(-2 * line - 1, r.docstring, name)]
+                    else:
+                        found = []
+                        for p, text, n in python_spans(r.source_code):
+                            p += 2 * start - 2
+                            found.insert(0, (-p, text, n))
+                            if p > 2 * line:
+                                break  # what follows cannot be nearer
+                    out.append((r.path, r.version, block, points[0][0], 1, *points[0][1:], False))
+                elif r.python:
+                    found = [(-p, text, n) for p, text, n in python_spans(r.source_code)][::-1]
+                else:
+                    found = [(2 * line, comment, None) for line, comment in spans(r.path, r.source_code)]
+                out += [(r.path, r.version, block, at, 0, text, n, None, None, None, not r.fn) for block, (at, text, n) in _in_blocks(found)]
+            got = pd.DataFrame(out, columns=_COLUMNS, dtype=object)
+            for c in ("version", "start_line"):
+                got[c] = got[c].astype("Int64")
+            yield got
+
+    return rows.select("path", "node_id", "start_line", "name", "signature", "docstring", "source_code", "fn", "python", "version").mapInPandas(run, _SPAN)
+
+
+def documentation(symbols: DataFrame) -> DataFrame:
+    """``node_id, start_line, documentation`` of every function and method that has documentation worth the name.
+
+    Rows without code or start_line are left out; a node_id with two definitions gives a row for
+    each. A null file_path or language is read from the node_id. Of several texts that document a
+    function (its docstring, its own code, any stored version of its file) the longest is given.
+    """
+    read = Stages(symbols.sparkSession, "spans").save(_spans_and_points(symbols).distinct())
+    versions = read.where("is_fn = 0 and of_file").select("file_path", "version").distinct()
+    in_file = read.where("is_fn = 1 and of_file").drop("version").join(versions, "file_path").select(*_COLUMNS)
+    every = read.where("is_fn = 0 or not of_file").unionByName(in_file)
+    # As of the function: what stands at its own place is not before it.
+    order = W.partitionBy("file_path", "version", "block").orderBy("at", F.desc("is_fn")).rowsBetween(W.unboundedPreceding, -1)
+    near = F.last(F.when(F.col("is_fn") == 0, F.struct(F.col("text"), F.col("name").alias("head"))), ignorenulls=True).over(order)
+    met = every.withColumn("near", near).where("is_fn = 1 and near.text is not null")
+    met = met.where(F.col("near.head").isNull() | ~F.col("of_file") | F.col("name").isin("") | (F.col("near.head") == F.col("name")))
+    met = met.where((F.col("at") > 0) | F.col("near.head").isNotNull())  # a string in Python follows a head
 
     @F.pandas_udf("string")
-    def read(comment: pd.Series, name: pd.Series, signature: pd.Series, code: pd.Series) -> pd.Series:
-        docs = [strip_markup(c) for c in comment]
-        return pd.Series([d if _good(d, n, s, c) else None for d, n, s, c in zip(docs, name, signature, code)], dtype=object)
-
-    versions = files.withColumn("version", F.xxhash64("text"))
-    span = _file_spans(versions).select("file_path", "version", "block", "line", F.lit(0).alias("is_fn"), "comment", F.lit(None).cast("string").alias("node_id"))
-    fn = functions.withColumn("at", declared("source_code", "start_line"))
-    per_file = versions.select("file_path", "version").distinct()
-    point = fn.select("file_path", "node_id", "at").distinct().join(per_file, "file_path")
-    point = point.select("file_path", "version", F.floor(F.col("at") / BLOCK).cast("int").alias("block"), F.col("at").alias("line"), F.lit(1).alias("is_fn"), F.lit(None).cast("string").alias("comment"), "node_id")
-    # As of the line above: the declaration's own line ends a span too, and must not be seen.
-    order = W.partitionBy("file_path", "version", "block").orderBy("line", F.desc("is_fn")).rowsBetween(W.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("is_fn") == 0, F.struct("line", "comment")), ignorenulls=True).over(order)
-    met = span.unionByName(point).withColumn("near", seen).where("is_fn = 1 and near.comment is not null")
-    got = met.groupBy("file_path", "node_id", F.col("line").alias("at")).agg(F.collect_set("near.comment").alias("found"))
-    both = fn.join(got, ["file_path", "node_id", "at"]).withColumnRenamed("source_code", "code")
-    one = both.withColumn("comment", F.explode("found"))
-    return one.withColumn("documentation", read("comment", "name", "signature", "code")).where("documentation is not null")
+    def said(text: pd.Series, at: pd.Series, name: pd.Series, signature: pd.Series) -> pd.Series:
+        docs = [t if a < 0 else strip_markup(t) for t, a in zip(text, at)]
+        return pd.Series([d if _good(d, n, s) else None for d, n, s in zip(docs, name, signature)], dtype=object)
+
+    docs = met.select("node_id", "start_line", said("near.text", "at", "name", "signature").alias("documentation")).where("documentation is not null")
+    best = F.max(F.struct(F.length("documentation").alias("n"), "documentation"))
+    return docs.groupBy("node_id", "start_line").agg(best.alias("b")).select("node_id", "start_line", "b.documentation")
+
+
+def documented(symbols: DataFrame) -> DataFrame:
+    """``node_id, start_line, file_path, language, signature, code, documentation``: the code of ``documentation``.
+
+    Repeated rows give one; of rows that share node_id and start_line but differ, the smallest counts.
+    """
+    code = F.struct(F.coalesce("signature", F.lit("")).alias("s"), "source_code", _path().alias("file_path"), "language", "signature")
+    one = _functions(symbols).groupBy("node_id", "start_line").agg(F.min(code).alias("c"))
+    both = documentation(symbols).join(one, ["node_id", "start_line"])
+    return both.select("node_id", "start_line", "c.file_path", "c.language", "c.signature", F.col("c.source_code").alias("code"), "documentation")

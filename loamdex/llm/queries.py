@@ -10,7 +10,7 @@ from loamdex.session import Stages, table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions and methods with documentation that says something."""
-    return D.documented(table(spark, sf_dir, "symbols")).select("node_id", "start_line")
+    return D.documentation(table(spark, sf_dir, "symbols")).select("node_id", "start_line")
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

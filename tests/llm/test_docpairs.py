@@ -82,7 +82,7 @@ def test_says_something(doc):
     assert D.says_something(doc, "drain_queue", "def drain_queue(item: int) -> bool:")
 
 
-@pytest.mark.parametrize("arguments,lines", [(0, 250), (230, 20), (0, 1900)])
+@pytest.mark.parametrize("arguments,lines", [(0, 250), (230, 20), (0, 5000)])
 def test_long_python_docs_of_files_that_do_not_parse(spark, arguments, lines):
     head = "def k(" + "".join(f"\n    a{i}," for i in range(arguments)) + "):"
     doc = "\n".join(f"    Reads whatever is left, part {i}." for i in range(lines))
@@ -90,3 +90,53 @@ def test_long_python_docs_of_files_that_do_not_parse(spark, arguments, lines):
     rows = [("file:b.py", "b.py", "module", "b", None, None, text, 1, "python", "x"), fn("b.py", "k", 2, head.split("\n")[0], "python"), fn("b.py", "none", 400 + lines, "y = 1", "python")]
     got = run(spark, rows)
     assert set(got) == {("b.py:k", 2)} and got[("b.py:k", 2)].endswith(f"part {lines - 1}.")
+
+
+PY = '''
+@dec(1)
+def f(a: dict[str, int] = {"x": 1},
+      b=2) -> "int":
+    # note
+    r"""Doc
+      of f."""
+    return {"a": [1,
+        2]}
+class C:
+    """doc c"""
+    def m(self):
+        def inner():
+            'one' 'two'
+        x = f"""not"""
+def n(): "on the line"
+def o():
+    f"no {a}"
+async def p(
+    a,  # about a
+):
+
+    # a comment
+    "last"
+y = "def q():"
+"""
+def r():
+    'no'
+"""
+'''
+
+
+def test_strings_below_heads_as_the_parser_reads_them():
+    import ast
+
+    got = sorted((n, d) for _, d, n in D.python_spans(PY.replace("\n", "\r\n")) if d is not None and n)
+    nodes = (x for x in ast.walk(ast.parse(PY)) if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)))
+    assert got == sorted((x.name, ast.get_docstring(x)) for x in nodes if ast.get_docstring(x))
+    assert [p for p, *_ in D.python_spans(PY)] == sorted(p for p, *_ in D.python_spans(PY))
+    assert list(D.python_spans("")) == [] and list(D.python_spans('def f():\n    """open')) [-1][1] is None
+
+
+def test_a_statement_between_head_and_string_rejects(spark):
+    text = 'def a():\n    x = 1\n    """Reads whatever is left."""\ndef b():\n    def c():\n        """Reads whatever is left."""\n'
+    rows = [("file:b.py", "b.py", "module", "b", None, None, text, 1, "python", "x"), *(fn("b.py", n, line, f"def {n}():", "python") for n, line in (("a", 1), ("b", 4), ("c", 5)))]
+    assert set(run(spark, rows)) == {("b.py:c", 5)}
+    old = ("file:b.py", "b.py", "module", "b", None, None, "# other version\n" * 6, 1, "python", "x")
+    assert set(run(spark, [*rows, old])) == {("b.py:c", 5)}
