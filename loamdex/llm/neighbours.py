@@ -1,15 +1,15 @@
 """Most similar vectors by a permutation index.
 
-A vector is represented by its nearest pivots in order of nearness. It is
-posted in the inverted files of its first pivots: one file per pivot for the
-nearest neighbours, one per pair of pivots for pairs above a high similarity,
-where both vectors must agree on two pivots at least. Vectors that meet in a
-file are ranked by the footrule distance of their pivot orders, and what that
-leaves is ranked again by cosine similarity.
+A vector is represented by its nearest pivots in order of nearness. It is posted
+in the inverted files of its first pivots, and asks in the file of its nearest
+one (of its nearest few, for the nearest neighbours). Who asks in a file and who
+is posted there are ranked by the footrule distance of their pivot orders; only
+what is near by that is ranked again by cosine similarity.
 
-A posting carries the pivot order and the unit vector in half precision, so a
-file is worked through where it lies. Files longer than ``BLOCK`` are cut into
-blocks and every pair of blocks is a task of its own, so no file is gathered.
+A posting carries the pivot order and a short code of the unit vector, so a file
+is worked through where it lies and no vector is fetched pair by pair. Files
+longer than ``BLOCK`` are cut into blocks and every pair of blocks is a task of
+its own, so no file is gathered.
 
 Equal vectors are indexed once and their keys joined back at the end, and no
 pivot is much like another, so that copies of a vector, or a dense cluster,
@@ -18,8 +18,8 @@ cannot fill the pivot orders around it with ties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,18 +27,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loamdex.session import Stages
 
-#: Length of the pivot order that is kept.
-ORDER = 8
-#: Pivots per dimension: twice the square root of the number of vectors, within these bounds.
-LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Length of the pivot order that is kept; the footrule sums stay below 256 up to 22.
+ORDER = 20
+#: Pivots per dimension: four times the square root of the number of vectors, within these bounds. The
+#: upper one bounds what is broadcast; it is reached at 16.8 million vectors, beyond which files grow.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 16384
 #: A pivot has a lower cosine than this to every other; so many vectors are looked at per pivot wanted.
 ALIKE, CANDIDATES = 0.9, 4
-#: Rows of a posting file that one task compares with each other.
-BLOCK = 1024
-#: Parts that lists of keys are made into pairs in.
-SPREAD = 64
-#: Half precision moves a cosine by less than this.
-HALF_ERROR = 0.002
+#: Postings of a file that one task compares with so many askers, and askers that are compared at a time.
+BLOCK, STRIP = 4096, 256
+#: Keys of one vector in a list, and parts that such lists are made into pairs in.
+KEYS, SPREAD = 1024, 64
 
 
 def usable(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -48,15 +47,28 @@ def usable(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     return vectors.where(F.col(key).isNotNull() & (F.col("dim") > 0) & F.coalesce(fit, F.lit(False))).select(key, "dim", "embedding")
 
 
-def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Per dim a sample of the distinct vectors ``rid, dim, embedding``, ``MOST_PIVOTS`` at most, as unit rows."""
-    counted = vectors.groupBy("dim").count()
-    most = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.ceil(2 * F.sqrt("count"))))
-    rank = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("rid", F.lit("pivot")), "rid"))
-    sample = vectors.withColumn("rank", rank).where(F.col("rank") <= CANDIDATES * MOST_PIVOTS)
-    sample = sample.join(counted.select("dim", most.alias("most")), "dim").where(F.col("rank") <= CANDIDATES * F.col("most"))
-    rows = sample.orderBy("dim", "rank").select("dim", "embedding", "most").toPandas()
-    return {int(d): _apart(_unit(np.stack(g["embedding"].to_numpy())), int(g["most"].iloc[0])) for d, g in rows.groupby("dim")}
+def _named(vectors: DataFrame, key: str) -> DataFrame:
+    """``rid, key, dim, embedding``: ``rid`` is a hash of 64 bits of the vector, so that copies need no join to be numbered."""
+    return usable(vectors, key).withColumn("rid", F.xxhash64("dim", "embedding"))
+
+
+def choose_pivots(named: DataFrame) -> dict[int, np.ndarray]:
+    """Per dim a sample of the distinct vectors, ``MOST_PIVOTS`` at most, as unit rows.
+
+    The sample is what hashes below a share, so nothing is sorted and the driver gets
+    ``CANDIDATES`` vectors for each pivot wanted.
+    """
+    counted = named.groupBy("dim").agg(F.approx_count_distinct("rid", 0.02).alias("n")).collect()  # a row per dim
+    most = {r["dim"]: min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(4 * math.sqrt(r["n"])))) for r in counted}
+    if not most:
+        return {}
+    share = F.lit(0.0)
+    for r in counted:
+        share = F.when(F.col("dim") == r["dim"], min(1.0, CANDIDATES * most[r["dim"]] / r["n"])).otherwise(share)
+    h = F.xxhash64("rid", F.lit("pivot"))
+    sample = named.where(F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) <= share).select("dim", "rid", h.alias("h"), "embedding")
+    rows = sample.dropDuplicates(["rid"]).toPandas().sort_values(["dim", "h", "rid"])
+    return {int(d): _apart(_unit(np.stack(g["embedding"].to_numpy())), most[d]) for d, g in rows.groupby("dim")}
 
 
 def _apart(x: np.ndarray, most: int) -> np.ndarray:
@@ -84,15 +96,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build_index(vectors: DataFrame, st: Stages, key: str = "chunk_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Saved tables ``rid, pivots, unit`` and ``rid, dim, embedding`` of every distinct usable vector, and ``rid, key`` of who has it.
+def _as_bytes(x: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Unit vectors in a byte per number: codes, scale, and how far what they stand for is from the vector."""
+    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    code = np.rint(x / scale[:, None]).astype(np.int8)
+    return [r.tobytes() for r in code], scale, np.linalg.norm(x - code * scale[:, None], axis=1).astype(np.float32) + np.float32(1e-6)
+
+
+def _as_halves(x: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same in half precision."""
+    code = x.astype(np.float16)
+    return [r.tobytes() for r in code], np.ones(len(x), np.float32), np.linalg.norm(x - code, axis=1).astype(np.float32)
+
+
+def build_index(vectors: DataFrame, st: Stages, key: str, posted: int, encode: Callable, reach: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Saved tables ``rid, files, pivots, code, scale, err`` of every distinct usable vector, and ``rid, key`` of who has it.
 
-    ``rid`` is a hash of 64 bits of the vector, so that copies need no join to be numbered.
+    ``files`` are those of the first ``posted`` pivots, nearest first; with ``reach`` those of all
+    pivots whose angle is at most ``reach`` above that of the nearest.
     """
-    named = usable(vectors, key).withColumn("rid", F.xxhash64("dim", "embedding"))
+    named = _named(vectors, key)
     members = st.save(named.select("rid", key).distinct())
-    distinct = st.save(named.select("rid", "dim", "embedding").distinct())
-    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(distinct))
+    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(named))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -103,69 +128,76 @@ def build_index(vectors: DataFrame, st: Stages, key: str = "chunk_id") -> tuple[
                 first = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
                 order = np.take_along_axis(first, order, 1).astype(np.int16)
-                yield pd.DataFrame({"rid": g["rid"].to_numpy(), "dim": int(dim), "pivots": list(order), "unit": [r.tobytes() for r in x.astype(np.float16)]})
+                base = int(dim) << 32
+                if reach is None:
+                    files = list(base + order[:, :posted].astype(np.int64))
+                else:
+                    angle = np.arccos(np.clip(near, -1, 1))
+                    ok = angle <= angle.min(axis=1, keepdims=True) + reach + 1e-3
+                    ok[np.arange(len(x)), order[:, 0]] = False  # goes first
+                    files = [base + np.concatenate([o[:1].astype(np.int64), np.flatnonzero(k)]) for o, k in zip(order, ok)]
+                code, scale, err = encode(x)
+                yield pd.DataFrame({"rid": g["rid"].to_numpy(), "files": files, "pivots": [o.tobytes() for o in order], "code": code, "scale": scale, "err": err})
 
-    return st.save(distinct.mapInPandas(run, "rid long, dim int, pivots array<smallint>, unit binary")), distinct, members
+    rows = named.select("rid", "dim", "embedding").mapInPandas(run, "rid long, files array<long>, pivots binary, code binary, scale float, err float")
+    return st.save(rows.dropDuplicates(["rid"])), members
 
 
 def _blocks(members: DataFrame, key: str) -> DataFrame:
-    """``rid, blocks, block, keys``: who has a vector, in lists of about ``BLOCK`` keys."""
-    long_lists = members.groupBy("rid").count().where(F.col("count") > BLOCK).select("rid", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    """``rid, blocks, block, keys``: who has a vector, in lists of about ``KEYS`` keys."""
+    long_lists = members.groupBy("rid").count().where(F.col("count") > KEYS).select("rid", F.ceil(F.col("count") / KEYS).cast("int").alias("blocks"))
     m = members.join(long_lists, "rid", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return m.groupBy("rid", "blocks", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(key).alias("keys"))
 
 
-def _file(*pivot: str) -> str:
-    """Number of the posting file of a dim and one or two pivots, smaller pivot first."""
-    if len(pivot) == 1:
-        return f"cast(dim as long) * 4294967296 + {pivot[0]}"
-    one, two = pivot
-    return f"case when {one} is not null and {two} is not null then cast(dim as long) * 4294967296 + least({one}, {two}) * 65536 + greatest({one}, {two}) end"
+def tiles(index: DataFrame, asked: int) -> DataFrame:
+    """``file, i, j, role`` and the columns of the index: each posting in each tile it takes part in.
 
-
-def post(index: DataFrame, first: int, pairs: bool) -> DataFrame:
-    """``file, rid, pivots, unit``: a row for each (pair of) pivots among the ``first`` of a vector."""
-    at = [f"cast(get(pivots, {i}) as int)" for i in range(first)]
-    files = [_file(a, b) for a, b in combinations(at, 2)] if pairs else [_file(a) for a in at]
-    return index.select(F.explode(F.array(*map(F.expr, files))).alias("file"), "rid", "pivots", "unit").where("file is not null")
-
-
-def tiles(postings: DataFrame) -> DataFrame:
-    """Postings with ``i, j, side``: which pair of blocks of the file they take part in."""
-    long_files = postings.groupBy("file").count().where(F.col("count") > BLOCK)
-    p = postings.join(long_files.select("file", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "file", "left")
-    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    every = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    p = p.withColumn("mine", F.coalesce(mine, F.lit(0))).withColumn("other", F.explode(every))
-    return p.select(
-        "file", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        (F.col("mine") > F.col("other")).alias("right"), "rid", "pivots", "unit",
-    )
-
-
-def _per_tile(tiled: DataFrame, work: Callable[..., pd.DataFrame | None], schema: str) -> DataFrame:
-    """``work`` on the rows of each tile; many small tiles share an Arrow batch."""
+    A vector asks in its first ``asked`` files (role 1) and is posted in all (role 2; 3 is both).
+    Tile (i, j) of a file holds block i of who asks and block j of who is posted.
+    """
+    p = index.select(F.posexplode("files").alias("at", "file"), "rid", "pivots", "code", "scale", "err").withColumn("asks", F.col("at") < asked)
+    sizes = p.groupBy("file").agg(F.ceil(F.count(F.when(F.col("asks"), 1)) / BLOCK).cast("int").alias("bi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("bj"))
+    long_files = sizes.where("bj > 1")  # no more rows than there are pivots
+    p = p.join(F.broadcast(long_files), "file", "left")
+    mine = lambda n, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.greatest(n, F.lit(1))).cast("int")
+    tile = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.alias("role"))
+    zero, bi, bj = F.lit(0), F.col("bi"), F.col("bj")
+    posted = F.transform(F.sequence(zero, F.greatest(bi - 1, zero)), lambda i: tile(i, mine(bj, 2), F.lit(2)))
+    asking = F.transform(F.sequence(zero, bj - 1), lambda j: tile(mine(bi, 1), j, F.lit(1)))
+    whole = F.array(tile(zero, zero, F.when(F.col("asks"), 3).otherwise(2)))
+    every = F.when(bj.isNull(), whole).when(F.col("asks"), F.concat(posted, asking)).otherwise(posted)
+    return p.select("file", F.explode(every).alias("t"), "rid", "pivots", "code", "scale", "err").select("file", "t.*", "rid", "pivots", "code", "scale", "err")
+
+
+class _Side:
+    """Rows of a tile as arrays: ids, pivot orders, what the codes stand for, and how far that is from the unit vectors."""
+
+    def __init__(self, b: pd.DataFrame, halves: bool):
+        self.rid = b["rid"].to_numpy()
+        self.order = np.frombuffer(b"".join(b["pivots"]), np.int16).reshape(len(b), -1)
+        code = np.frombuffer(b"".join(b["code"]), np.float16 if halves else np.int8).reshape(len(b), -1)
+        self.x = code.astype(np.float32) * b["scale"].to_numpy()[:, None]
+        self.err = b["err"].to_numpy()
+
+
+def _per_tile(tiled: DataFrame, work: Callable[[int, _Side, _Side], pd.DataFrame | None], halves: bool, schema: str) -> DataFrame:
+    """``work`` on who asks and who is posted in each tile; many small tiles share an Arrow batch."""
     by = ["file", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
 
         def cut(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            k = b[by].to_numpy()
+            k, role = b[by].to_numpy(), b["role"].to_numpy()
             at = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             ends = [0, *at.tolist(), len(b)]
             found = []
-            cols = (b["rid"].to_numpy(), b["right"].to_numpy(), b["pivots"].to_numpy(), b["unit"].to_numpy())
             for s, e in zip(ends, ends[1:]):
-                if e - s > 1:
-                    r, side, order, unit = (c[s:e] for c in cols)
-                    order = np.stack(order)
-                    unit = np.frombuffer(b"".join(unit), np.float16).reshape(len(r), -1).astype(np.float32)
-                    if k[s, 1] == k[s, 2]:
-                        got = work(k[s, 0], (r, order, unit), None)
-                    else:
-                        left = ~side
-                        got = work(k[s, 0], (r[left], order[left], unit[left]), (r[side], order[side], unit[side]))
+                asks, posted = (role[s:e] & 1) > 0, (role[s:e] & 2) > 0
+                if asks.any() and posted.any() and e - s > 1:
+                    t = b.iloc[s:e]
+                    got = work(int(k[s, 0]), _Side(t[asks], halves), _Side(t[posted], halves))
                     if got is not None:
                         found.append(got)
             if found:
@@ -192,54 +224,79 @@ def _per_tile(tiled: DataFrame, work: Callable[..., pd.DataFrame | None], schema
     return tiled.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
-def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of the pivot orders in the rows of a from those in b; an absent pivot has the rank after the last."""
-    n = a.shape[1]
-    names = np.unique(np.concatenate([a, b]))
-    ca, cb = np.searchsorted(names, a), np.searchsorted(names, b)
-    place = np.full((len(a), len(names)), n, dtype=np.int8)
-    np.put_along_axis(place, ca, np.arange(n, dtype=np.int8)[None].repeat(len(a), 0), 1)
-    out = np.full((len(a), len(b)), n * (n + 1) // 2, dtype=np.int16)
-    for j in range(n):  # per shared pivot: the difference of ranks instead of what its absence would cost
-        p = place[:, cb[:, j]]
-        out += np.abs(p - np.int8(j)) - (np.int8(n) - p)
-    return out
+class Footrule:
+    """Footrule distances of pivot orders to those of some askers, as a part of the largest possible.
 
+    An absent pivot has the rank after the last. The distance is the largest possible without, for
+    each shared pivot, twice what its lower rank leaves of the order; so a row per shared pivot is
+    looked up and added.
+    """
+
+    def __init__(self, asking: np.ndarray):
+        n = asking.shape[1]
+        self.n, self.names = n, np.unique(asking)
+        self.left = np.zeros((len(self.names) + 1, len(asking)), np.uint8)
+        for j in range(n):
+            self.left[np.searchsorted(self.names, asking[:, j]), np.arange(len(asking))] = n - j
+
+    def __call__(self, posted: np.ndarray) -> np.ndarray:
+        """A row per posted order, a column per asker."""
+        at = np.searchsorted(self.names, posted)
+        at[self.names[np.minimum(at, len(self.names) - 1)] != posted] = len(self.names)
+        shared = np.zeros((len(posted), self.left.shape[1]), np.uint8)
+        for j in range(self.n):
+            shared += np.minimum(self.left[at[:, j]], np.uint8(self.n - j))
+        return shared
+
+    def least(self, cut: float) -> int:
+        """The sum of the shared pivots that a distance of ``cut`` of the largest possible comes from."""
+        return math.ceil(self.n * (self.n + 1) * (1 - cut) / 2 - 1e-9)
 
-def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", first: int = 5, cut: float = 0.75) -> DataFrame:
+
+def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", posted: int = 5, cut: float = 0.37, exact: bool = False) -> DataFrame:
     """``key_a, key_b, cosine`` (a < b by bytes) of the pairs of one dim with a cosine of at least ``least``.
 
-    Made for high thresholds (0.9 and more): the two vectors must share two of
-    their ``first`` pivots and have a footrule distance of at most ``cut`` of the
-    largest possible. Any number of partners is returned. Unusable vectors have
-    none; a key with several vectors is paired by its best one, never with itself.
+    Made for high thresholds (0.9 and more): the nearest pivot of one vector must be among the
+    first ``posted`` of the other, and their footrule distance at most ``cut`` of the largest
+    possible. ``exact`` finds every pair: vectors are posted in all files that the triangle
+    inequality of angles cannot rule out, and none is left out by its footrule. Any number of
+    partners is returned. Unusable vectors have none; a key with several vectors is paired by its
+    best one, never with itself.
     """
     st = Stages(vectors.sparkSession, "pairs")
-    index, distinct, members = build_index(vectors, st, key)
-
-    def work(file, a, b):
-        ra, oa, ua = a
-        rb, ob, ub = b or a
-        far = footrule(oa, ob)
-        near = far <= cut * oa.shape[1] * (oa.shape[1] + 1)
-        sim = ua @ ub.T
-        near &= sim >= least - HALF_ERROR
-        if b is None:
-            near = np.triu(near, 1)
-        x, y = np.nonzero(near)
-        if not len(x):
+    index, members = build_index(vectors, st, key, posted, _as_bytes, 2 * math.acos(max(-1.0, min(1.0, least))) if exact else None)
+
+    def work(file: int, a: _Side, b: _Side) -> pd.DataFrame | None:
+        here, found = file & 0xFFFFFFFF, []
+        for s in range(0, len(a.rid), STRIP):
+            part = slice(s, s + STRIP)
+            if exact:
+                y, x = np.indices((len(b.rid), len(a.rid[part]))).reshape(2, -1)
+            else:
+                far = Footrule(a.order[part])
+                y, x = np.nonzero(far(b.order) >= far.least(cut))
+            x += s
+            # A pair that meets in the files of both is reported by the smaller one.
+            home = b.order[y, 0]
+            both = np.ones(len(x), bool) if exact else (a.order[x, :posted] == home[:, None]).any(axis=1)
+            mine = ~both | (here < home) | (here == home) & (a.rid[x] < b.rid[y])
+            x, y = x[mine], y[mine]
+            for t in range(0, len(x), 1 << 16):
+                i, j = x[t : t + (1 << 16)], y[t : t + (1 << 16)]
+                near = np.einsum("ij,ij->i", a.x[i], b.x[j]) + a.err[i] + b.err[j] + a.err[i] * b.err[j] + 1e-5 >= least
+                if near.any():
+                    found.append((a.rid[i[near]], b.rid[j[near]]))
+        if not found:
             return None
-        # A pair that meets in several files is reported by the first of them.
-        pa, pb = oa[x][:, :first].astype(np.int64), ob[y][:, :first].astype(np.int64)
-        common = np.where((pa[:, :, None] == pb[:, None, :]).any(axis=2), pa, 1 << 20)
-        two = np.sort(common, axis=1)[:, :2]
-        mine = (two[:, 0] * 65536 + two[:, 1]) == (int(file) & 0xFFFFFFFF)
-        return pd.DataFrame({"ra": ra[x[mine]], "rb": rb[y[mine]]})
-
-    met = _per_tile(tiles(post(index, first, pairs=True)), work, "ra long, rb long")
-    pairs = st.save(met)
+        ra, rb = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"ra": ra, "rb": rb})
+
+    pairs = st.save(_per_tile(tiles(index, 1), work, False, "ra long, rb long").where("ra <> rb"))
+    # The vectors of those that are in some pair, for the exact cosine.
+    needed = pairs.select(F.explode(F.array("ra", "rb")).alias("rid")).distinct()
+    whole = st.save(_named(vectors, key).select("rid", "embedding").join(needed, "rid", "left_semi").dropDuplicates(["rid"]))
     for r in ("ra", "rb"):
-        pairs = pairs.join(distinct.select(F.col("rid").alias(r), F.transform("embedding", lambda v: v.cast("double")).alias(f"e_{r}")), r)
+        pairs = pairs.join(whole.select(F.col("rid").alias(r), F.transform("embedding", lambda v: v.cast("double")).alias(f"e_{r}")), r)
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
     cosine = dot("e_ra", "e_rb") / F.sqrt(dot("e_ra", "e_ra") * dot("e_rb", "e_rb"))
     pairs = pairs.select("ra", "rb", cosine.alias("cosine")).where(F.col("cosine") >= least)
@@ -255,45 +312,41 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", first
     return every.groupBy(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).agg(F.max("cosine").alias("cosine"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int = ORDER, share: float = 0.75) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", asked: int = 6, posted: int = 12, cut: float = 0.8) -> DataFrame:
     """``key, rank, neighbour, cosine``: the k most similar other vectors of the same dim for every usable vector.
 
-    Approximate: a neighbour must share one of the ``first`` pivots, and of the
-    vectors met in a file the nearer ``share`` by footrule distance is ranked by
-    cosine. Ties go to the smaller key. Fewer than k rows where fewer are met.
+    Approximate: one of the first ``asked`` pivots of a vector must be among the first ``posted`` of
+    its neighbour, and their footrule distance at most ``cut`` of the largest possible; these are
+    ranked by cosine. Ties go to the smaller key. Fewer than k rows where fewer are met.
     """
     st = Stages(vectors.sparkSession, "nearest")
-    index, _, members = build_index(vectors, st, key)
-
-    def best(far, sim, own, other, itself):
-        n = far.shape[1]
-        keep = max(min(n, 8 * k), int(n * share))
-        score = sim.copy()
-        if keep < n:
-            limit = np.partition(far, keep - 1, axis=1)[:, keep - 1]
-            score[far > limit[:, None]] = -2
-        if itself:
-            np.fill_diagonal(score, -2)
-        m = min(k, n)
-        at = np.argpartition(-score, m - 1, axis=1)[:, :m]
-        v = np.take_along_axis(score, at, 1)
-        ok = (v > -2).ravel()
-        return np.repeat(own, m)[ok], other[at].ravel()[ok], v.ravel()[ok]
-
-    def work(file, a, b):
-        ra, oa, ua = a
-        rb, ob, ub = b or a
-        if not len(ra) or not len(rb):
+    index, members = build_index(vectors, st, key, posted, _as_halves)
+
+    def work(file: int, a: _Side, b: _Side) -> pd.DataFrame | None:
+        here, found, m = file & 0xFFFFFFFF, [], min(k + 1, len(b.rid))
+        for s in range(0, len(a.rid), STRIP):
+            part = slice(s, s + STRIP)
+            far = Footrule(a.order[part])
+            near = far(b.order) >= far.least(cut)
+            rows = np.flatnonzero(near.any(axis=1))
+            sim = a.x[part] @ b.x[rows].T
+            sim[~near[rows].T] = -2
+            n = min(m, len(rows))
+            if not n:
+                continue
+            at = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+            v = np.take_along_axis(sim, at, 1).ravel()
+            x, y = np.repeat(np.arange(len(sim)), n) + s, rows[at.ravel()]
+            # What meets in several files is reported by the first that the asker asks in.
+            shared = (a.order[x, :asked, None] == b.order[y, None, :posted]).any(axis=2)
+            ok = (v > -2) & (a.rid[x] != b.rid[y]) & (a.order[x, shared.argmax(axis=1)] == here)
+            found.append((a.rid[x[ok]], b.rid[y[ok]], v[ok]))
+        if not found:
             return None
-        far, sim = footrule(oa, ob), ua @ ub.T
-        parts = [best(far, sim, ra, rb, b is None)]
-        if b is not None:
-            parts.append(best(far.T, sim.T, rb, ra, False))
-        q, c, s = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({"q": q, "c": c, "s": s.astype(np.float32)})
-
-    met = _per_tile(tiles(post(index, first, pairs=False)), work, "q long, c long, s float")
-    met = met.groupBy("q", "c").agg(F.max("s").alias("s"))
+        q, c, v = (np.concatenate(f) for f in zip(*found))
+        return pd.DataFrame({"q": q, "c": c, "s": v.astype(np.float32)})
+
+    met = _per_tile(tiles(index, asked), work, True, "q long, c long, s float")
     top = met.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("rank") <= k).drop("rank")
     # Of the keys of one vector no more than the first k + 1 can be among anyone's nearest, its own included.
     heads = members.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy(key))).where(F.col("n") <= k + 1)
@@ -306,3 +359,42 @@ def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", first: int =
     rest = F.slice(F.filter("near", lambda x: ~(x["own"] & (x["neighbour"] == F.col(key)))), 1, k)
     out = members.join(lists, members["rid"] == lists["q"]).select(key, F.posexplode(rest).alias("pos", "x"))
     return out.select(key, (F.col("pos") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"))
+
+
+def brute_force(vectors: DataFrame, k: int = 10, key: str = "chunk_id", every: int = 20) -> DataFrame:
+    """``key, kth``: cosine of the k-th most similar other row, for the keys whose hash is divisible by ``every``, against all rows.
+
+    A stated query set against all rows, in blocks; made to measure the recall of ``nearest``.
+    Keys with fewer than k others have the last one's.
+    """
+    asks = F.pmod(F.xxhash64(key), F.lit(every)) == 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, g in b.groupby("dim"):
+                code, scale, err = _as_halves(_unit(np.stack(g["embedding"].to_numpy())))
+                yield pd.DataFrame({"rid": g["rid"].to_numpy(), "file": g["dim"].to_numpy(np.int64), "asks": g["asks"].to_numpy(), "pivots": b"00", "code": code, "scale": scale, "err": err})
+
+    rows = usable(vectors, key).distinct().select(F.xxhash64(key, "embedding").alias("rid"), "dim", "embedding", asks.alias("asks"), key)
+    st = Stages(vectors.sparkSession, "brute")
+    names = st.save(rows.where("asks").select("rid", key))
+    coded = st.save(rows.drop(key).mapInPandas(run, "rid long, file long, asks boolean, pivots binary, code binary, scale float, err float"))
+    size = coded.groupBy("file").agg(F.ceil(F.count(F.when(F.col("asks"), 1)) / BLOCK).cast("int").alias("bi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("bj"))
+    c = coded.join(F.broadcast(size), "file")  # a row per dim
+    part = lambda n, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.greatest(n, F.lit(1))).cast("int")
+    cols = ["rid", "pivots", "code", "scale", "err"]
+    posted = c.select("file", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bi") - 1, F.lit(0)))).alias("i"), part(F.col("bj"), 2).alias("j"), F.lit(2).alias("role"), *cols)
+    asking = c.where("asks").select("file", part(F.col("bi"), 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("bj") - 1)).alias("j"), F.lit(1).alias("role"), *cols)
+
+    def work(_: int, a: _Side, b: _Side) -> pd.DataFrame:
+        found = []
+        for s in range(0, len(a.rid), STRIP):
+            sim = a.x[s : s + STRIP] @ b.x.T
+            sim[a.rid[s : s + STRIP, None] == b.rid] = -2
+            best = -np.partition(-sim, min(k, sim.shape[1]) - 1, axis=1)[:, :k]
+            found.append(pd.DataFrame({"rid": np.repeat(a.rid[s : s + STRIP], best.shape[1]), "s": best.ravel()}))
+        return pd.concat(found)
+
+    met = _per_tile(posted.unionByName(asking), work, True, "rid long, s float").where("s > -2")
+    best = met.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy(F.desc("s")))).where(F.col("n") <= k)
+    return names.join(best, "rid").groupBy(key).agg(F.min("s").alias("kth"))

@@ -39,6 +39,14 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.nearest(table(spark, sf_dir, "chunk_vectors"), 10)
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of p4_nearest: how many of the neighbours it gives to the keys with a hash divisible by 20 are as near as the tenth nearest of all rows."""
+    v = table(spark, sf_dir, "chunk_vectors")
+    found = N.nearest(v, 10).join(N.brute_force(v, 10), "chunk_id")
+    hit = F.sum(F.when(F.col("cosine") >= F.col("kth") - 0.002, 1).otherwise(0))
+    return found.agg(F.countDistinct("chunk_id").alias("n_queries"), F.count("*").alias("n_neighbours"), (hit / F.count("*")).alias("recall"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,7 +93,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segments(docs, profiles)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p4_found, p4_nearest, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p4_found, p4_nearest, p4_recall, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
 
 _USABLE = """usable AS (
     SELECT DISTINCT chunk_id, dim, embedding::DOUBLE[] AS e FROM chunk_vectors

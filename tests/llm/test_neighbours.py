@@ -109,10 +109,36 @@ def test_recall_on_the_given_vectors(spark, sf):
 
 
 def test_footrule():
-    a, b = np.array([[3, 5, 9], [1, 2, 3]], np.int16), np.array([[3, 9, 5], [7, 8, 6]], np.int16)
-    place = lambda v, row: next((i for i, x in enumerate(row) if x == v), 3)
-    want = [[sum(abs(place(v, r) - place(v, q)) for v in {*r, *q}) for q in b.tolist()] for r in a.tolist()]
-    assert N.footrule(a, b).tolist() == want
+    r = np.random.default_rng(1)
+    a, b = (np.stack([r.permutation(30)[:6] for _ in range(n)]).astype(np.int16) for n in (7, 9))
+    place = lambda v, row: next((i for i, x in enumerate(row) if x == v), 6)
+    want = [[sum(abs(place(v, x) - place(v, y)) for v in {*x, *y}) for x in a.tolist()] for y in b.tolist()]
+    far = N.Footrule(a)
+    assert (42 - 2 * far(b).astype(int)).tolist() == want
+    assert all(((far(b) >= far.least(c)) == (np.array(want) <= c * 42 + 1e-6)).all() for c in (0.2, 0.5, 0.75, 1.0))
+
+
+def test_exact_mode_finds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "LEAST_PIVOTS", 8)
+    for x in (planted(seed=11), hot(copies=60, near=40)):
+        s = cosines(x.astype(np.float64))
+        want = {(f"v{i:04}", f"v{j:04}") for i, j in zip(*np.where(np.triu(s >= 0.8, 1)))}
+        assert {(r["chunk_id_a"], r["chunk_id_b"]) for r in N.similar_pairs(frame(spark, x), 0.8, exact=True).collect()} == want
+
+
+def test_codes_stay_within_their_error():
+    x = N._unit(np.random.default_rng(2).normal(size=(50, 24)))
+    for encode, kind in ((N._as_bytes, np.int8), (N._as_halves, np.float16)):
+        code, scale, err = encode(x)
+        back = np.frombuffer(b"".join(code), kind).reshape(50, -1).astype(np.float32) * scale[:, None]
+        assert (np.linalg.norm(back - x, axis=1) <= err + 1e-6).all() and err.max() < 0.03
+
+
+def test_brute_force(spark):
+    x = planted()
+    s = cosines(x)
+    got = {r["chunk_id"]: r["kth"] for r in N.brute_force(frame(spark, x), 10, every=7).collect()}
+    assert 60 < len(got) < 220 and all(abs(v - np.sort(s[int(c[1:])])[-10]) < 0.003 for c, v in got.items())
 
 
 def test_empty(spark):
