@@ -17,7 +17,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = H.hierarchy(table(spark, sf_dir, "symbols"))
     return tree.select(
-        F.col("id").alias("node_id"), "root_id", "depth", F.array_join("path", " > ").alias("full_path"), "n_descendants"
+        F.col("id").alias("node_id"), "root_id", "depth", F.when(F.col("depth") >= 0, F.array_join("path", " > ")).alias("full_path"), "n_descendants"
     )
 
 
@@ -40,9 +40,8 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p5_found, p5_report)}
 
 _NODES = """
-    nodes AS (SELECT node_id AS id, min(CASE WHEN trim(parent_id) <> '' THEN parent_id END) AS want
-              FROM symbols WHERE node_id IS NOT NULL GROUP BY node_id),
-    links AS (SELECT n.id, p.id AS parent FROM nodes n LEFT JOIN nodes p ON n.want = p.id),
+    ids AS (SELECT DISTINCT node_id AS id FROM symbols WHERE node_id IS NOT NULL),
+    links AS (SELECT i.id, min(p.id) AS parent FROM ids i LEFT JOIN symbols s ON s.node_id = i.id LEFT JOIN ids p ON s.parent_id = p.id AND trim(s.parent_id) <> '' GROUP BY i.id),
     tree AS (SELECT id AS node_id, id AS root_id, 0 AS depth, id AS full_path, [id] AS path FROM links WHERE parent IS NULL
              UNION ALL
              SELECT l.id, t.root_id, t.depth + 1, t.full_path || ' > ' || l.id, list_append(t.path, l.id)
@@ -50,7 +49,10 @@ _NODES = """
     lost AS (SELECT id, parent FROM links WHERE id NOT IN (SELECT node_id FROM tree)),
     reach(id, up) AS (SELECT id, parent FROM lost UNION SELECT r.id, l.parent FROM reach r JOIN lost l ON r.up = l.id),
     loops AS (SELECT id FROM reach WHERE id = up),
-    lost_root AS (SELECT r.id, min(r.up) AS root_id FROM reach r JOIN loops o ON r.up = o.id GROUP BY r.id)
+    lost_root AS (SELECT r.id, min(r.up) AS root_id FROM reach r JOIN loops o ON r.up = o.id GROUP BY r.id),
+    fed AS (SELECT l.id AS node_id, [l.id] AS path FROM lost l JOIN loops o ON l.parent = o.id WHERE l.id NOT IN (SELECT id FROM loops)
+            UNION ALL SELECT l.id, list_append(f.path, l.id) FROM lost l JOIN fed f ON l.parent = f.node_id),
+    paths AS (SELECT node_id, path FROM tree UNION ALL SELECT node_id, path FROM fed)
 """
 
 # Two ids name one path if they agree after this; as in canonical_key, for the spellings SQL regexes can undo.
@@ -79,12 +81,12 @@ SQL = {
         SELECT node_id, root_id, depth FROM tree WHERE depth >= 3
         UNION ALL SELECT id, root_id, -1 FROM lost_root""",
     "p3_hierarchy": f"""WITH RECURSIVE {_NODES},
-        sizes AS (SELECT a AS node_id, count(*) - 1 AS n_descendants FROM (SELECT unnest(path) AS a FROM tree) GROUP BY a)
+        sizes AS (SELECT a AS node_id, count(*) - 1 AS n_descendants FROM (SELECT unnest(path) AS a FROM paths) GROUP BY a)
         SELECT t.node_id, t.root_id, t.depth, t.full_path, s.n_descendants FROM tree t JOIN sizes s USING (node_id)
-        UNION ALL SELECT id, root_id, -1, NULL, NULL FROM lost_root""",
+        UNION ALL SELECT id, root_id, -1, NULL, s.n_descendants FROM lost_root LEFT JOIN sizes s ON s.node_id = id""",
     "p3_descendants": f"""WITH RECURSIVE {_NODES},
-        pairs AS (SELECT unnest(path) AS ancestor_id, generate_subscripts(path, 1) AS pos, node_id, depth FROM tree)
-        SELECT ancestor_id, node_id, depth - pos + 1 AS distance FROM pairs WHERE pos <= depth""",
+        pairs AS (SELECT unnest(path) AS ancestor_id, generate_subscripts(path, 1) AS pos, node_id, len(path) AS n FROM paths)
+        SELECT ancestor_id, node_id, n - pos AS distance FROM pairs WHERE pos < n""",
     "p5_found": f"WITH {_REFS} SELECT DISTINCT table_name, field_name, owner_id, missing_id, edge_type FROM orphans",
     "p5_report": f"""WITH {_REFS},
         periods AS (SELECT {_CANON.format(c="file_path")} AS ref_file, strftime(max(indexed_at), '%Y-%m') AS period FROM file_manifest GROUP BY 1)

@@ -16,7 +16,7 @@ def brute(parent):
                 out[n] = (x, len(seen) - 1, seen[::-1])
                 break
             if p in seen:
-                out[n] = (min(seen[seen.index(p) :]), -1, None)
+                out[n] = (min(seen[seen.index(p) :]), -1, seen[: seen.index(p)][::-1])
                 break
             x = p
     return out
@@ -42,9 +42,11 @@ def test_against_walking_up(spark):
         assert (got[n]["root_id"], got[n]["depth"], got[n]["path"]) == (root, depth, path)
     below = {n: 0 for n in want}
     for _, d, path in want.values():
-        for a in path[:-1] if path else []:
+        for a in path[:-1]:
             below[a] += 1
-    assert all(got[n]["n_descendants"] == (below[n] if want[n][1] >= 0 else None) for n in want)
+    assert all(got[n]["n_descendants"] == (below[n] if want[n][2] else None) for n in want)
+    links = {(r["ancestor_id"], r["node_id"], r["distance"]) for r in descendants(hierarchy(df)).collect()}
+    assert links == {(a, n, len(path) - 1 - i) for n, (_, _, path) in want.items() for i, a in enumerate(path[:-1])}
 
 
 def test_deep_chain_loops_and_descendants(spark):
@@ -56,5 +58,14 @@ def test_deep_chain_loops_and_descendants(spark):
     assert len(pairs) == 59 and {(r["ancestor_id"], r["distance"]) for r in pairs} >= {("c000", 59), ("c058", 1)}
 
 
+def test_below_a_loop_and_rows_that_disagree(spark):
+    rows = [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c"), ("e", "d"), ("x", "gone"), ("x", "root"), ("x", "zoo"), ("root", None), ("zoo", " "), ("y", None), ("y", "x")]
+    tree = hierarchy(spark.createDataFrame(rows, "node_id string, parent_id string"))
+    got = {r["id"]: (r["root_id"], r["depth"], r["path"], r["n_descendants"]) for r in tree.collect()}
+    assert got["c"] == ("a", -1, ["c"], 2) and got["e"] == ("a", -1, ["c", "d", "e"], 0) and got["a"] == ("a", -1, [], None)
+    assert got["x"] == ("root", 1, ["root", "x"], 1) and got["y"] == ("root", 2, ["root", "x", "y"], 0)
+    assert {(r["ancestor_id"], r["node_id"]) for r in descendants(tree).collect()} == {("c", "d"), ("c", "e"), ("d", "e"), ("root", "x"), ("root", "y"), ("x", "y")}
+
+
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "node_id string, parent_id string")).count() == 0
