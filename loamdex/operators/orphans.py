@@ -137,10 +137,11 @@ def orphan_references(symbols: DataFrame, edges: DataFrame, chunks: DataFrame, v
     spark = symbols.sparkSession
     keys = parent_keys(symbols, chunks)
     words = bloom_words(keys, symbols.count() + chunks.count())
-    refs = may_exist(references(symbols, edges, chunks, vectors), words)
+    st = Stages(spark, "orphans")
+    refs = st.save(may_exist(references(symbols, edges, chunks, vectors), words))  # made canonical and probed once, read twice
     # What the filter let through: one row per key before the exact comparison.
     passed = refs.where("maybe").select("key").distinct()
-    wrong = Stages(spark, "orphans").save(passed.join(keys, "key", "left_anti"))
+    wrong = st.save(passed.join(keys, "key", "left_anti"))
     seen = refs.join(wrong.withColumn("gone", F.lit(True)), "key", "left")
     return (
         seen.where("not maybe or gone")
