@@ -36,12 +36,16 @@ def identifier_parts(text: str) -> list[str]:
     return [t for t in re.split(r"[_\W]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text).lower()) if t]
 
 
+# Fixed value: signs that are no part of a search term.
+QUERY_SIGNS = r'["*^~:()./\-_]'
+
+
 def query_terms(query: str) -> list[str]:
     """Search terms of a query: its words and their identifier parts.
 
     Case variants stay apart, so ``Flask`` searches twice; the order is alphabetical.
     """
-    words = re.sub(r'["*^~:()./\-_]', " ", query).split()
+    words = re.sub(QUERY_SIGNS, " ", query).split()
     both = {*words, *(p for w in words for p in identifier_parts(w))}
     return sorted(t for t in (re.sub(r"[^a-zA-Z0-9]", "", w) for w in both if len(w) >= 2) if t)
 
@@ -89,11 +93,6 @@ def same_but_plural(a: Column, b: Column) -> Column:
     return (a == b) | one(a, b) | one(b, a)
 
 
-def chunk_kind(path: Column, name: Column) -> Column:
-    """test or code, by the path and the name of the symbol."""
-    return F.when(path.contains("test") | F.startswith(name, F.lit("test_")), "test").otherwise("code")
-
-
 # ---------------------------------------------------------------- stemming
 
 _VOWEL = set("aeiou")

@@ -8,17 +8,47 @@ from pyspark.sql import Column, DataFrame, functions as F
 CELL = 64
 
 
-def ndcg(hits: DataFrame, k: int = 10) -> DataFrame:
-    """``query, ndcg, top1`` from ``query, rank, n_targets``: one row per matched rank.
+def ndcg(queries: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
+    """``query, ndcg, top1`` of every query (``query, n_targets``) from the ranks of its hits (``query, rank``).
 
-    Two targets first met at one rank count once; ranks beyond k don't count; no targets give 0.
+    Two targets first met at one rank count once; ranks beyond k don't count; a query without
+    hits or without targets has 0.
     """
-    per = hits.select("query", "rank", "n_targets").distinct().groupBy("query").agg(
+    per = hits.select("query", "rank").distinct().groupBy("query").agg(
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
-        F.max("n_targets").alias("n"), F.max(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("top1"),
+        F.max(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("top1"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return per.select("query", F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"), "top1")
+    n = F.coalesce("n_targets", F.lit(0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    score = F.when(n > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0)
+    return queries.join(per, "query", "left").select("query", score.alias("ndcg"), F.coalesce("top1", F.lit(0)).alias("top1"))
+
+
+def first_hits(results: DataFrame, targets: DataFrame) -> DataFrame:
+    """``query, target, rank``: the first rank at which each target is met.
+
+    ``results`` has ``query, rank, file_path, start_line, end_line``; ``targets`` has ``query, path,
+    start_line, end_line``, of which the lines may be null. A result meets a target if the paths
+    are the same, one may be the end of the other, and the lines overlap where the target has any.
+    """
+    t = targets.where("path is not null").select("query", F.struct("path", "start_line", "end_line").alias("target")).distinct()
+    span = F.col("target.start_line").isNull() | F.col("target.end_line").isNull() | ((F.col("start_line") <= F.col("target.end_line")) & (F.col("end_line") >= F.col("target.start_line")))
+    met = results.join(t, "query").where(same_path(F.col("file_path"), F.col("target.path")) & F.coalesce(span, F.lit(False)))
+    return met.groupBy("query", "target").agg(F.min("rank").alias("rank"))
+
+
+def evaluation(results: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per query ``query, category, n_targets, ndcg5, ndcg10, top1``, and the means per category and over all (category null)."""
+    asked = targets.groupBy("query").agg(F.min("category").alias("category"), F.count_distinct(F.when(F.col("path").isNotNull(), F.struct("path", "start_line", "end_line"))).alias("n_targets"))
+    hits = first_hits(results, targets)
+    score = lambda k: ndcg(asked, hits, k).select("query", F.col("ndcg").alias(f"ndcg{k}"), *(["top1"] if k == 10 else []))
+    per = asked.join(score(5), "query").join(score(10), "query")
+    return per, per.rollup("category").agg(F.count("*").alias("n_queries"), F.avg("ndcg5").alias("ndcg5"), F.avg("ndcg10").alias("ndcg10"), F.avg("top1").alias("top1"))
+
+
+def write_evaluation(summary: DataFrame, path: str) -> None:
+    """The means as JSON lines."""
+    summary.write.mode("overwrite").json(path)
 
 
 def same_path(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int | None = None, keep_see
     ``depth`` None goes on until nothing is new.
     """
     st = Stages(seeds.sparkSession, "reach")
-    steps = steps.distinct()
+    steps = st.save(steps.distinct())  # read at every level
     front = st.save(seeds.where("node_id is not null").select("node_id").distinct().withColumn("level", F.lit(0)))
     found, level = [front] if keep_seeds else [], 0
     while depth is None or level < depth:
@@ -148,15 +148,47 @@ def graphml_lines(edges: DataFrame) -> DataFrame:
     )
 
 
+def _ends(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every node: the symbols and what edges name beyond them."""
+    named = edges.select(F.explode(F.array("source_id", "target_id")).alias("node_id"))
+    return symbols.select("node_id").unionByName(named).where("node_id is not null").distinct()
+
+
+def dot_document(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part, line``: a whole DOT file, in the order of the parts."""
+    q = F.replace("node_id", F.lit('"'), F.lit('\\"'))
+    part = lambda n, df: df.select(F.lit(n).alias("part"), "line")
+    one = lambda line: symbols.sparkSession.range(1).select(F.lit(line).alias("line"))
+    nodes = _ends(symbols, edges).select(F.format_string('  "%s";', q).alias("line"))
+    whole = part(0, one("digraph G {")).unionByName(part(1, one("  rankdir=LR;")))
+    return whole.unionByName(part(2, nodes)).unionByName(part(3, dot_lines(edges).where("line is not null"))).unionByName(part(4, one("}")))
+
+
+def graphml_document(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``part, line``: a whole GraphML file, in the order of the parts."""
+    x = F.replace(F.replace(F.replace(F.replace("node_id", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    part = lambda n, df: df.select(F.lit(n).alias("part"), "line")
+    one = lambda line: symbols.sparkSession.range(1).select(F.lit(line).alias("line"))
+    head = [
+        '<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="type" for="edge" attr.name="type" attr.type="string"/>', '<graph edgedefault="directed">',
+    ]
+    out = part(0, one(head[0]))
+    for i, line in enumerate(head[1:], 1):
+        out = out.unionByName(part(i, one(line)))
+    nodes = _ends(symbols, edges).select(F.format_string('<node id="%s"/>', x).alias("line"))
+    links = graphml_lines(edges.where("source_id is not null and target_id is not null"))
+    return out.unionByName(part(4, nodes)).unionByName(part(5, links)).unionByName(part(6, one("</graph>"))).unionByName(part(7, one("</graphml>")))
+
+
 def export_graph(symbols: DataFrame, edges: DataFrame, path: str, form: str = "json") -> None:
-    """Write nodes and edges below ``path`` as JSON lines, DOT or GraphML parts."""
+    """Write the graph below ``path``: JSON lines of nodes and links, or DOT or GraphML text whose files, one after the other by name, are the document."""
+    form = {"xml": "graphml", "gv": "dot"}.get(form.lower().strip(), form.lower().strip())
     if form == "json":
         symbols.select("node_id", "kind", "name", "file_path").distinct().write.mode("overwrite").json(f"{path}/nodes")
         edges.select("source_id", "target_id", "edge_type").distinct().write.mode("overwrite").json(f"{path}/links")
-    elif form == "dot":
-        dot_lines(edges).write.mode("overwrite").text(path)
-    elif form == "graphml":
-        graphml_lines(edges).write.mode("overwrite").text(path)
+    elif form in ("dot", "graphml"):
+        whole = (dot_document if form == "dot" else graphml_document)(symbols, edges)
+        whole.repartitionByRange("part", "line").sortWithinPartitions("part", "line").select("line").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format: {form}")
 

@@ -91,11 +91,11 @@ def build_postings(docs: DataFrame, key: str, words: Column, version: Column | N
     return tf.repartitionByRange("term", key).sortWithinPartitions("term", key), rows.select(key, F.size("w").alias("len"))
 
 
-def bm25_postings(postings: DataFrame, lengths: DataFrame, key: str, terms: list[str], limit: int = CANDIDATES) -> DataFrame:
-    """``bm25`` from an inverted index: only the postings of the terms are read."""
+def bm25_postings(postings: DataFrame, lengths: DataFrame, key: str, terms: list[str], limit: int = CANDIDATES, stem: Callable[[str], str] | None = None) -> DataFrame:
+    """``bm25`` from an inverted index: only the postings of the terms are read. ``stem`` as the index was built."""
     if not terms:
         return lengths.select(key, F.lit(0.0).alias("score")).limit(0)
-    match = [F.startswith("term", F.lit(t.lower())) for t in terms]
+    match = [F.startswith("term", F.lit(stem(t.lower()) if stem else t.lower())) for t in terms]
     mine = postings.where(reduce(lambda x, y: x | y, match))
     tf = mine.groupBy(key).agg(*(F.coalesce(F.sum(F.when(m, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, m in enumerate(match)))
     return _scored(tf.join(lengths, key), lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")), key, len(terms), limit)
@@ -191,13 +191,13 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: list
     ``mode`` is hybrid, lexical or semantic; semantic without a vector falls back
     to lexical. Repeated chunks count once. Where no word begins with a term, the
     terms are looked for as substrings. ``index`` is what ``build_postings`` made
-    of the chunks; without it the chunks are read.
+    of the chunks, of stemmed words if ``stemmed``; without it the chunks are read.
     """
     terms = T.query_terms(query)
     empty = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     lexical = near = empty
     if mode in ("hybrid", "lexical") or query_vector is None:
-        lexical = bm25_postings(*index, "chunk_id", terms) if index else bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None, version=chunk_version())
+        lexical = bm25_postings(*index, "chunk_id", terms, stem=T.porter if stemmed else None) if index else bm25(chunks, "chunk_id", chunk_words(stemmed), terms, stem=T.porter if stemmed else None, version=chunk_version())
         if lexical.isEmpty():
             lexical = like_fallback(chunks, "chunk_id", F.col("content"), F.array_join("identifiers", " "), terms).withColumn("score", F.col("score").cast("double"))
     if mode in ("hybrid", "semantic") and query_vector is not None:
@@ -222,3 +222,19 @@ def attach_neighbours(results: DataFrame, edges: DataFrame, symbols: DataFrame,
     """``results`` with ``neighbours``: all that ``neighbour_rows`` gives for each, in one array by node_id."""
     lists = neighbour_rows(results, edges, symbols, depth).groupBy("chunk_id").agg(F.array_sort(F.collect_set("neighbour")).alias("neighbours"))
     return results.join(lists, "chunk_id", "left")
+
+
+def answer(results: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Results as they are shown: scores to four digits, and the ids of the first three neighbours (of ``neighbour_rows``)."""
+    shown = results.withColumn("score", F.round("score", 4)).select("chunk_id", "symbol_id", "file_path", "chunk_type", "start_line", "end_line", "content", "score")
+    if near is None:
+        return shown
+    rank = F.row_number().over(W.partitionBy("chunk_id").orderBy("level", "neighbour.node_id"))
+    three = near.withColumn("n", rank).where("n <= 3").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("neighbour.node_id").alias("id")))).alias("x"))
+    ids = F.coalesce(F.col("x.id"), F.array().cast("array<string>"))
+    return shown.join(three, "chunk_id", "left").withColumn("neighbours", ids).drop("x")
+
+
+def distance_score(distance: Column) -> Column:
+    """Similarity of a cosine distance: one less it, 0 at least."""
+    return F.greatest(F.lit(0.0), 1 - distance)

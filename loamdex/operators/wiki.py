@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loamdex.functions.text import file_name
+from loamdex.functions.text import file_name, split_identifier
 from loamdex.operators.graph import module_dependencies
 
 #: Lines that a diagram holds at most, flows that are told, and steps in a part of a flow.
@@ -51,7 +51,7 @@ def page_id(path) -> F.Column:
 
 
 def module_pages(symbols: DataFrame, edges: DataFrame, most: int = 500, summarise: Callable | None = None) -> DataFrame:
-    """``page, part_no, file_path, content``: Markdown pages of every file with definitions: what it says of itself, its
+    """``page, part_no, file_path, content``: Markdown pages of every file: what it says of itself, its
     definitions in line order with their whole documentation, and what it calls.
 
     Each part holds ``most`` definitions and ``most`` calls at most; a file has as many parts as
@@ -69,11 +69,10 @@ def module_pages(symbols: DataFrame, edges: DataFrame, most: int = 500, summaris
     d = numbered.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("d"))
     file_of = known.groupBy(F.col("node_id").alias("source_id")).agg(F.min("file_path").alias("file_path"))
     calls = edges.where("edge_type = 'CALLS' and target_id is not null").select("source_id", "target_id").join(file_of, "source_id").select("file_path", "target_id").distinct()
-    calls = calls.join(defs.select("file_path").distinct(), "file_path", "left_semi")
     c = _parts(calls, "file_path", [F.col("target_id")], most).groupBy(*key).agg(F.array_sort(F.collect_list("target_id")).alias("c"))
     own = F.when((F.col("kind") == "module") & (F.col("docstring") != ""), F.struct("start_line", "node_id", "docstring"))
     about = known.groupBy("file_path").agg(F.min(own)["docstring"].alias("about"))
-    whole = defs.groupBy("file_path").agg(F.count("*").alias("n"))
+    whole = known.select("file_path").distinct().join(defs.groupBy("file_path").agg(F.count("*").alias("n")), "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("part_no"))
     none = F.array().cast("array<string>")
     first = F.col("part_no") == 1
     body = F.concat(
@@ -81,11 +80,77 @@ def module_pages(symbols: DataFrame, edges: DataFrame, most: int = 500, summaris
         F.when(first, text(F.concat("about", F.lit("\n\n")))).otherwise(F.lit("")), F.col("n").cast("string"), F.lit(" definitions\n\n"),
         F.array_join(F.coalesce(F.transform("d", lambda x: x["t"]), none), "\n\n"), F.lit("\n\n## Calls\n\n"), F.array_join(F.transform(F.coalesce("c", none), lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"),
     )
-    out = d.join(c, key, "full_outer").join(whole, "file_path").join(about, "file_path")
+    every = d.join(c, key, "full_outer").join(whole.select(*key), key, "full_outer")  # a file without either has a first part too
+    out = every.join(whole.drop("part_no"), "file_path").join(about, "file_path")
     out = out.select(page_id(F.col("file_path")).alias("page"), "part_no", "file_path", body.alias("content"))
     return summarise(out) if summarise else out
 
 
+#: Files that a part of the index or of the architecture page lists.
+FILES = 500
+
+
+def _numbered_files(rows: DataFrame) -> DataFrame:
+    """``rows`` (one per file_path) with ``part_no``, ``FILES`` in a part, by path; ranges of paths are numbered in parallel."""
+    cut = rows.withColumn("cell", F.substring(F.sha2("file_path", 256), 1, 2))
+    return _parts(cut, "cell", [F.col("file_path")], FILES)
+
+
+def _part_number():
+    """A number above 1 for the part of a cell, so that no one task numbers them all."""
+    return 1 + F.conv("cell", 16, 10).cast("int") * 100_000 + F.col("part_no")
+
+
+def _named(page: str, part, content) -> list:
+    return [F.lit(page).alias("page"), part.cast("int").alias("part_no"), F.lit(None).cast("string").alias("file_path"), content.alias("content")]
+
+
+def architecture_pages(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """The page ``architecture``: a diagram of the first links between modules, then tables of the files with the names they define."""
+    link = F.concat(F.lit("    "), F.col("src"), F.lit(" --> "), F.col("tgt"))
+    diagram = architecture_edges(edges).agg(F.array_join(F.array_sort(F.collect_list(link)), "\n").alias("d"))  # LINKS rows
+    head = diagram.select(*_named("architecture", F.lit(1), F.concat(F.lit("# Architecture\n\n```mermaid\ngraph TD\n"), "d", F.lit("\n```\n"))))
+    defined = symbols.where("file_path is not null and kind in ('class', 'function') and name is not null").select("file_path", "name").distinct()
+    parts = _parts(defined, "file_path", [F.col("name")], 500).groupBy("file_path", "part_no").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    table = module_table(symbols).select("file_path", "summary").join(parts, "file_path", "left").withColumn("at", F.coalesce("part_no", F.lit(1)))
+    names = F.when(F.col("names").isNotNull(), F.array_join(F.transform("names", lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")).otherwise("Module")
+    row = F.concat(F.lit("| [`"), file_name(F.col("file_path")), F.lit("`]("), page_id(F.col("file_path")), F.lit(".md) | "), names, F.lit(" | "), F.col("summary"), F.lit(" |"))
+    cut = table.select(F.substring(F.sha2("file_path", 256), 1, 2).alias("cell"), "file_path", "at", row.alias("row"))
+    listed = _parts(cut, "cell", [F.col("file_path"), F.col("at")], FILES).groupBy("cell", "part_no").agg(F.array_sort(F.collect_list(F.struct("file_path", "at", "row"))).alias("r"))
+    listed = listed.withColumn("no", _part_number())
+    body = F.concat(F.lit("# Modules\n\n| File | Defines | Summary |\n| :--- | :--- | :--- |\n"), F.array_join(F.col("r.row"), "\n"), F.lit("\n"))
+    return head.unionByName(listed.select(*_named("architecture", F.col("no"), body)))
+
+
+def workflow_pages(edges: DataFrame) -> DataFrame:
+    """The page ``workflows``: a sequence diagram for each part of ``workflows``."""
+    short = lambda c: F.replace(F.regexp_replace(F.substring_index(c, ":", -1), "^call:", ""), F.lit("."), F.lit("_"))
+    mine = F.substring_index("source_id", ":", -1)
+    steps = F.transform("steps", lambda x: F.concat(F.lit("    "), short(F.col("source_id")), F.lit("->>"), short(x), F.lit(": invoke")))
+    flows = workflows(edges).withColumn("no", F.row_number().over(W.orderBy("source_id", "part_no")))  # FLOWS callers
+    return flows.select(*_named("workflows", F.col("no"), F.concat(F.lit("### Flow from `"), mine, F.lit("`\n```mermaid\nsequenceDiagram\n"), F.array_join(steps, "\n"), F.lit("\n```\n"))))
+
+
+def index_pages(symbols: DataFrame) -> DataFrame:
+    """The page ``index``: links to the other pages, then to the page of every file."""
+    files = symbols.where("file_path is not null").select("file_path").distinct()
+    line = F.concat(F.lit("- ["), file_name(F.col("file_path")), F.lit("]("), page_id(F.col("file_path")), F.lit(".md)"))
+    listed = _numbered_files(files.withColumn("line", line)).groupBy("cell", "part_no").agg(F.array_sort(F.collect_list(F.struct("file_path", "line"))).alias("r"))
+    listed = listed.withColumn("no", _part_number())
+    head = symbols.sparkSession.range(1).select(*_named("index", F.lit(1), F.lit("# Wiki\n\n- [Architecture](architecture.md)\n- [Workflows](workflows.md)\n\n## Modules\n")))
+    return head.unionByName(listed.select(*_named("index", F.col("no"), F.array_join(F.col("r.line"), "\n"))))
+
+
+def pages(symbols: DataFrame, edges: DataFrame, summarise: Callable | None = None) -> DataFrame:
+    """All pages: index, architecture, workflows and modules."""
+    return index_pages(symbols).unionByName(architecture_pages(symbols, edges)).unionByName(workflow_pages(edges)).unionByName(module_pages(symbols, edges, summarise=summarise))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Write Markdown, a folder ``page=<name>`` per page, its parts in order."""
+    pages.repartition("page").sortWithinPartitions("page", "part_no").select("page", F.col("content").alias("value")).write.mode("overwrite").partitionBy("page").text(path)
+
+
 def page_chunks(pages: DataFrame) -> DataFrame:
     """Pages as chunks of the type wiki, to be searched like code."""
     none = F.lit(None).cast("string")
@@ -93,5 +158,5 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.concat(F.lit("wiki:"), name).alias("chunk_id"), none.alias("symbol_id"), F.concat(F.lit(".wiki/"), name, F.lit(".md")).alias("file_path"), F.lit("wiki").alias("chunk_type"),
         "content", F.lit(1).alias("start_line"), F.size(F.split("content", "\n")).alias("end_line"), F.lit("markdown").alias("language"), F.sha2("content", 256).alias("content_hash"),
-        F.lit(False).alias("is_definition"), F.array().cast("array<string>").alias("identifiers"), F.array().cast("array<string>").alias("identifier_tokens"),
+        F.lit(False).alias("is_definition"), F.array("page").alias("identifiers"), split_identifier(F.col("page")).alias("identifier_tokens"),
     )

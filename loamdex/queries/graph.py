@@ -64,11 +64,11 @@ def node_cards(spark, sf_dir):
 
 
 def export_dot(spark, sf_dir):
-    return G.dot_lines(_edges(spark, sf_dir))
+    return G.dot_document(*_t(spark, sf_dir, "symbols", "edges"))
 
 
 def export_graphml(spark, sf_dir):
-    return G.graphml_lines(_edges(spark, sf_dir))
+    return G.graphml_document(*_t(spark, sf_dir, "symbols", "edges"))
 
 
 def link_symbols(spark, sf_dir):
@@ -99,18 +99,26 @@ def latest_manifest(spark, sf_dir):
 
 
 def manifest_diff(spark, sf_dir):
-    """From the first to the last pass over each file."""
-    m = _t(spark, sf_dir, "file_manifest")
+    """From the last pass over each file before the middle of all passes to the last one after it."""
+    m = _t(spark, sf_dir, "file_manifest").where("indexed_at is not null")
     seq = [F.col("indexed_at"), F.col("mtime"), F.col("content_hash"), F.col("size")]
-    return T.manifest_changes(T.insert_ignore(m, ["file_path"], seq), T.upsert(m, ["file_path"], seq))
+    middle = m.agg(F.floor((F.min(F.unix_micros(F.col("indexed_at").cast("timestamp"))) + F.max(F.unix_micros(F.col("indexed_at").cast("timestamp")))) / 2).alias("m")).first()["m"]
+    early = F.unix_micros(F.col("indexed_at").cast("timestamp")) <= F.lit(middle)
+    return T.manifest_changes(T.upsert(m.where(early), ["file_path"], seq), T.upsert(m.where(~early), ["file_path"], seq))
 
 
 def cascade_delete(spark, sf_dir):
-    """What is left of each table without the test files."""
+    """The rows that are left of each table without the test files, by their keys."""
     names = ("symbols", "edges", "chunks", "chunk_vectors", "file_manifest")
     tables = dict(zip(names, _t(spark, sf_dir, *names)))
     files = tables["symbols"].where(F.col("file_path").contains("/tests/")).select("file_path").distinct()
-    return T.index_stats(T.remove_files(tables, files))
+    left = T.remove_files(tables, files)
+    keys = {"symbols": ["node_id"], "edges": ["source_id", "target_id", "edge_type"], "chunks": ["chunk_id"], "chunk_vectors": ["chunk_id"], "file_manifest": ["file_path"]}
+    parts = [left[t].select(F.lit(t).alias("table_name"), F.concat_ws("|", *k).alias("row_key")) for t, k in keys.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("table_name", "row_key").agg(F.count("*").alias("n_rows"))
 
 
 def index_stats(spark, sf_dir):
@@ -132,6 +140,31 @@ def author_churn(spark, sf_dir):
     return H.churn(commit_log(spark, sf_dir), "author", "commit_id")
 
 
+def file_churn(spark, sf_dir):
+    """Commits per file, of the files that the logs name."""
+    logs = _t(spark, sf_dir, "chunks").where("chunk_type = 'git'").select("content").distinct()
+    return H.churn(H.file_changes(logs), "file_path", "commit_id")
+
+
+def changed_files(spark, sf_dir):
+    """Files with more than one content, and files of which only the symbols know."""
+    s, m = _t(spark, sf_dir, "symbols", "file_manifest")
+    several = m.groupBy("file_path").agg(F.countDistinct("content_hash").alias("n")).where("n > 1")
+    untracked = s.join(m, "file_path", "left_anti")
+    return H.changed_files(several, several.limit(0), untracked)
+
+
+def impact_size(spark, sf_dir):
+    """How many nodes a change reaches, and how many of them at once."""
+    return impact_closure(spark, sf_dir).agg(F.count("*").alias("affected_count"), F.count(F.when(F.col("is_direct"), 1)).alias("direct_count"))
+
+
+def wiki_index(spark, sf_dir):
+    """Index, architecture and workflow pages."""
+    s, e = _t(spark, sf_dir, "symbols", "edges")
+    return K.index_pages(s).unionByName(K.architecture_pages(s, e)).unionByName(K.workflow_pages(e))
+
+
 def wiki_module_table(spark, sf_dir):
     return K.module_table(_t(spark, sf_dir, "symbols"))
 
@@ -141,7 +174,7 @@ def wiki_architecture(spark, sf_dir):
 
 
 def wiki_workflows(spark, sf_dir):
-    return K.workflows(_edges(spark, sf_dir)).select("source_id", F.array_join("steps", " ").alias("steps"))
+    return K.workflows(_edges(spark, sf_dir)).select("source_id", "part_no", F.array_join("steps", " ").alias("steps"))
 
 
 def wiki_pages(spark, sf_dir):
@@ -165,6 +198,23 @@ def parse_edges(spark, sf_dir):
     return _parsed(spark, sf_dir)["edges"].select("source_id", "target_id", "edge_type")
 
 
+def _other_files(spark, sf_dir) -> DataFrame:
+    """Texts of files that are read by the beginnings of their definitions."""
+    return _t(spark, sf_dir, "symbols").where("node_id like 'file:%' and source_code is not null and file_path is not null and coalesce(language, '') <> 'python'")
+
+
+def parse_definitions(spark, sf_dir):
+    """Classes and functions of the files in other languages than Python."""
+    s = _other_files(spark, sf_dir).select("file_path", "language", F.col("source_code").alias("content")).distinct()
+    return P.split(P.parse(s))["symbols"].where("kind <> 'module'").select("file_path", "kind", "name").distinct()
+
+
+def parse_imports(spark, sf_dir):
+    """Imports of the files in other languages than Python."""
+    s = _other_files(spark, sf_dir).select("file_path", "language", F.col("source_code").alias("content")).distinct()
+    return P.split(P.parse(s))["edges"].where("edge_type = 'IMPORTS'").select("source_id", "target_id").distinct()
+
+
 def parse_chunks(spark, sf_dir):
     return _parsed(spark, sf_dir)["chunks"].select("chunk_id", "symbol_id", "chunk_type", "content_hash", "start_line", "end_line")
 
@@ -173,8 +223,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         neighbourhood_1hop, neighbourhood_2hop, impact_closure, callers_callees, trace_flow, node_resolve_rank, module_rollup, node_cards, export_dot, export_graphml, link_symbols,
-        linked_edge_types, upsert_last_wins, insert_ignore, latest_manifest, manifest_diff, cascade_delete, index_stats, unknown_kinds, commit_log, author_churn, wiki_module_table,
-        wiki_architecture, wiki_workflows, wiki_pages, wiki_chunks, parse_symbols, parse_edges, parse_chunks,
+        linked_edge_types, upsert_last_wins, insert_ignore, latest_manifest, manifest_diff, cascade_delete, index_stats, unknown_kinds, commit_log, author_churn, file_churn, changed_files, impact_size, wiki_index, wiki_module_table,
+        wiki_architecture, wiki_workflows, wiki_pages, wiki_chunks, parse_symbols, parse_edges, parse_chunks, parse_definitions, parse_imports,
     )
 }
 
@@ -183,6 +233,7 @@ _MODULE = "replace(replace(split_part({c}, ':', 1), '/', '_'), '.', '_')"
 _ROLLUP = f"""SELECT DISTINCT src, tgt FROM (SELECT {_MODULE.format(c='source_id')} AS src, {_MODULE.format(c='target_id')} AS tgt FROM edges WHERE edge_type IN ('IMPORTS', 'CALLS'))
     WHERE length(src) BETWEEN 1 AND 39 AND length(tgt) BETWEEN 1 AND 39 AND src <> tgt"""
 _ENDS = "SELECT DISTINCT node_id FROM (SELECT source_id AS node_id FROM edges UNION ALL SELECT target_id FROM edges)"
+_NODES = "SELECT node_id FROM symbols UNION SELECT source_id FROM edges UNION SELECT target_id FROM edges"
 _SEQ = "indexed_at {d} NULLS LAST, mtime {d} NULLS LAST, content_hash {d} NULLS LAST, size {d} NULLS LAST"
 _X = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _LINK = """
@@ -227,21 +278,36 @@ SQL = {
     "module_rollup": _ROLLUP,
     "node_cards": f"""SELECT node_id, split_part(regexp_replace(node_id, '^(call|module|symbol|file):', ''), ':', -1) AS name, k AS kind, CASE WHEN k IN ('file', 'definition') THEN split_part(regexp_replace(node_id, '^(call|module|symbol|file):', ''), ':', 1) END AS file_path
         FROM (SELECT node_id, CASE WHEN starts_with(node_id, 'call:') THEN 'call' WHEN starts_with(node_id, 'module:') THEN 'module' WHEN starts_with(node_id, 'symbol:') THEN 'symbol' WHEN starts_with(node_id, 'file:') THEN 'file' ELSE 'definition' END AS k FROM ({_ENDS}))""",
-    "export_dot": """SELECT DISTINCT '  "' || replace(source_id, '"', '\\"') || '" -> "' || replace(target_id, '"', '\\"') || '" [label="' || replace(coalesce(edge_type, ''), '"', '\\"') || '"];' AS line FROM edges""",
-    "export_graphml": f"""SELECT DISTINCT '<edge source="' || {_X.format(c='source_id')} || '" target="' || {_X.format(c='target_id')} || '"><data key="type">' || {_X.format(c="coalesce(edge_type, '')")} || '</data></edge>' AS line FROM edges""",
+    "export_dot": f"""SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 1, '  rankdir=LR;' UNION ALL SELECT 4, '}}'
+        UNION ALL SELECT 2, '  "' || replace(node_id, '"', '\\"') || '";' FROM ({_NODES}) WHERE node_id IS NOT NULL
+        UNION ALL (SELECT DISTINCT 3, '  "' || replace(source_id, '"', '\\"') || '" -> "' || replace(target_id, '"', '\\"') || '" [label="' || replace(coalesce(edge_type, ''), '"', '\\"') || '"];' AS line FROM edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL)""",
+    "export_graphml": f"""SELECT 0 AS part, '<?xml version="1.0" encoding="utf-8"?>' AS line UNION ALL SELECT 1, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' UNION ALL SELECT 2, '<key id="type" for="edge" attr.name="type" attr.type="string"/>'
+        UNION ALL SELECT 3, '<graph edgedefault="directed">' UNION ALL SELECT 6, '</graph>' UNION ALL SELECT 7, '</graphml>'
+        UNION ALL SELECT 4, '<node id="' || {_X.format(c='node_id')} || '"/>' FROM ({_NODES}) WHERE node_id IS NOT NULL
+        UNION ALL (SELECT DISTINCT 5, '<edge source="' || {_X.format(c='source_id')} || '" target="' || {_X.format(c='target_id')} || '"><data key="type">' || {_X.format(c="coalesce(edge_type, '')")} || '</data></edge>' AS line FROM edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL)""",
     "link_symbols": f"WITH {_LINK} SELECT * FROM links",
     "linked_edge_types": f"""WITH {_LINK} SELECT e.edge_type, regexp_matches(coalesce(l.target_id, e.target_id), '^(call|symbol|module):') AS by_name, count(*) AS n_edges
         FROM edges e LEFT JOIN links l ON e.source_id = l.source_id AND e.target_id = l.original AND e.edge_type = l.edge_type GROUP BY ALL""",
     "upsert_last_wins": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "insert_ignore": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
     "latest_manifest": f"SELECT file_path, content_hash, size FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY {_SEQ.format(d='DESC')}) AS k FROM file_manifest) WHERE k = 1",
-    "manifest_diff": f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY {_SEQ.format(d='ASC')}) AS a, row_number() OVER (PARTITION BY file_path ORDER BY {_SEQ.format(d='DESC')}) AS z FROM file_manifest)
-        SELECT o.file_path, CASE WHEN coalesce(o.size = n.size AND abs(o.mtime - n.mtime) < 1e-4, false) THEN 'same' WHEN coalesce(o.content_hash = n.content_hash, false) THEN 'touched' ELSE 'changed' END AS change
-        FROM f o JOIN f n ON o.file_path = n.file_path AND o.a = 1 AND n.z = 1""",
+    "manifest_diff": f"""WITH m AS (SELECT *, indexed_at <= make_timestamp((SELECT floor((epoch_us(min(indexed_at)) + epoch_us(max(indexed_at))) / 2)::BIGINT FROM file_manifest)) AS early FROM file_manifest WHERE indexed_at IS NOT NULL),
+        f AS (SELECT *, row_number() OVER (PARTITION BY file_path, early ORDER BY {_SEQ.format(d='DESC')}) AS z FROM m), o AS (SELECT * FROM f WHERE early AND z = 1), n AS (SELECT * FROM f WHERE NOT early AND z = 1)
+        SELECT coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN o.early IS NULL THEN 'added' WHEN n.early IS NULL THEN 'deleted' WHEN coalesce(o.size = n.size AND abs(o.mtime - n.mtime) < 1e-4, false) THEN 'same'
+            WHEN coalesce(o.content_hash = n.content_hash, false) THEN 'touched' ELSE 'changed' END AS change
+        FROM o FULL JOIN n ON o.file_path = n.file_path""",
     "cascade_delete": """WITH f AS (SELECT DISTINCT file_path FROM symbols WHERE contains(file_path, '/tests/')), g AS (SELECT DISTINCT node_id FROM symbols SEMI JOIN f USING (file_path)), c AS (SELECT DISTINCT chunk_id FROM chunks SEMI JOIN f USING (file_path))
-        SELECT 'symbols' AS table_name, count(*) AS n_rows FROM symbols ANTI JOIN f USING (file_path) UNION ALL SELECT 'chunks', count(*) FROM chunks ANTI JOIN f USING (file_path)
-        UNION ALL SELECT 'file_manifest', count(*) FROM file_manifest ANTI JOIN f USING (file_path) UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id NOT IN (SELECT node_id FROM g) AND target_id NOT IN (SELECT node_id FROM g)
-        UNION ALL SELECT 'chunk_vectors', count(*) FROM chunk_vectors ANTI JOIN c USING (chunk_id)""",
+        SELECT table_name, row_key, count(*) AS n_rows FROM (
+        SELECT 'symbols' AS table_name, concat_ws('|', node_id) AS row_key FROM symbols ANTI JOIN f USING (file_path) UNION ALL SELECT 'chunks', concat_ws('|', chunk_id) FROM chunks ANTI JOIN f USING (file_path)
+        UNION ALL SELECT 'file_manifest', concat_ws('|', file_path) FROM file_manifest ANTI JOIN f USING (file_path)
+        UNION ALL SELECT 'edges', concat_ws('|', source_id, target_id, edge_type) FROM edges WHERE source_id NOT IN (SELECT node_id FROM g WHERE node_id IS NOT NULL) AND target_id NOT IN (SELECT node_id FROM g WHERE node_id IS NOT NULL)
+        UNION ALL SELECT 'chunk_vectors', concat_ws('|', chunk_id) FROM chunk_vectors ANTI JOIN c USING (chunk_id)) GROUP BY ALL""",
+    "changed_files": """SELECT file_path FROM file_manifest GROUP BY file_path HAVING count(DISTINCT content_hash) > 1 UNION SELECT file_path FROM symbols ANTI JOIN file_manifest USING (file_path) WHERE file_path IS NOT NULL""",
+    "file_churn": """WITH l AS (SELECT unnest(string_split_regex(content, '\\r?\\n')) AS x, generate_subscripts(string_split_regex(content, '\\r?\\n'), 1) AS i, h FROM (SELECT DISTINCT content, md5(content) AS h FROM chunks WHERE chunk_type = 'git')),
+        n AS (SELECT *, max(CASE WHEN regexp_matches(x, '^commit [0-9a-f]{7,64}') THEN i END) OVER (PARTITION BY h ORDER BY i) AS head FROM l),
+        c AS (SELECT h, i, regexp_extract(x, '^commit ([0-9a-f]+)', 1) AS commit_id FROM l),
+        p AS (SELECT h, head, CASE WHEN regexp_matches(x, '^(\\d+|-)\\t(\\d+|-)\\t(.+)$') THEN regexp_extract(x, '^(\\d+|-)\\t(\\d+|-)\\t(.+)$', 3) WHEN regexp_matches(x, '^ (\\S.*?) +\\| +(?:\\d+ ?[+-]*|Bin .*)$') THEN regexp_extract(x, '^ (\\S.*?) +\\| +', 1) END AS file_path FROM n WHERE head IS NOT NULL)
+        SELECT file_path, count(DISTINCT commit_id) AS n_commits FROM p JOIN c ON p.h = c.h AND p.head = c.i WHERE file_path IS NOT NULL GROUP BY file_path""",
     "index_stats": _STATS,
     "author_churn": """WITH c AS (SELECT unnest(regexp_extract_all(content, '(?m)^commit [0-9a-f]{7,64}\\r?\\nAuthor: [^<\\n]*')) AS h FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE chunk_type = 'git'))
         SELECT trim(regexp_extract(h, 'Author: ([^<\\n]*)', 1)) AS author, count(DISTINCT regexp_extract(h, '^commit ([0-9a-f]+)', 1)) AS n_commits FROM c GROUP BY 1""",
@@ -249,8 +315,16 @@ SQL = {
         coalesce(split_part(min(CASE WHEN docstring <> '' THEN {'l': start_line, 'n': node_id, 'd': docstring} END).d, chr(10), 1), 'Source module') AS summary FROM symbols WHERE file_path IS NOT NULL GROUP BY file_path""",
     "wiki_architecture": f"SELECT * FROM ({_ROLLUP}) ORDER BY src, tgt LIMIT {K.LINKS}",
     "wiki_workflows": f"""WITH c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type = 'CALLS'), f AS (SELECT DISTINCT source_id FROM c ORDER BY 1 LIMIT {K.FLOWS})
-        SELECT source_id, string_agg(target_id, ' ' ORDER BY target_id) AS steps FROM (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY target_id) AS k FROM c SEMI JOIN f USING (source_id)) WHERE k <= {K.STEPS} GROUP BY source_id""",
+        SELECT source_id, ((k - 1) // {K.STEPS} + 1)::INT AS part_no, string_agg(target_id, ' ' ORDER BY target_id) AS steps FROM (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY target_id) AS k FROM c SEMI JOIN f USING (source_id)) GROUP BY 1, 2""",
 }
+_OTHER = "o AS (SELECT DISTINCT file_path, source_code FROM symbols WHERE node_id LIKE 'file:%' AND source_code IS NOT NULL AND file_path IS NOT NULL AND coalesce(language, '') <> 'python')"
+_q = lambda pattern: "(?m)" + pattern.pattern.replace("'", "''")
+SQL["parse_definitions"] = f"WITH {_OTHER} " + " UNION ".join(
+    f"SELECT DISTINCT file_path, '{kind}' AS kind, unnest(regexp_extract_all(source_code, '{_q(pattern)}', 1)) AS name FROM o" for kind, pattern in (("class", P._CLASS), ("function", P._FUNCTION), ("function", P._CONST))
+)
+SQL["parse_imports"] = f"""WITH {_OTHER}, m AS (SELECT file_path, unnest(regexp_extract_all(source_code, '{_q(P._IMPORT)}')) AS x FROM o)
+    SELECT DISTINCT 'file:' || file_path AS source_id, 'module:' || coalesce(nullif(regexp_extract(x, '{_q(P._IMPORT)}', 1), ''), nullif(regexp_extract(x, '{_q(P._IMPORT)}', 2), ''), regexp_extract(x, '{_q(P._IMPORT)}', 3)) AS target_id FROM m"""
+SQL["impact_size"] = f"SELECT count(*) AS affected_count, count(*) FILTER (is_direct) AS direct_count FROM ({SQL['impact_closure']})"
 SQL["unknown_kinds"] = " UNION ALL ".join(
     f"SELECT '{name}' AS column_name, {name.split('.')[1]} AS value, count(*) AS n_rows FROM {name.split('.')[0]} WHERE {name.split('.')[1]} IS NULL OR {name.split('.')[1]} NOT IN ({', '.join(repr(k) for k in known)}) GROUP BY 2"
     for name, known in T.KINDS.items()

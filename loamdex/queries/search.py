@@ -12,6 +12,8 @@ from loamdex.session import Stages, table
 WORDS = ["cach", "schedul", "spelling", "megabyt"]
 CODE_QUERY = "rotate_handle beacon"
 LIKE_TERMS = ["Cache", "disk", "lock"]
+#: Query vectors that a row is compared with in one step.
+ASKED_AT_ONCE = 256
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +84,18 @@ def vector_knn_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ndcg_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well vectors find their own label: the first vector of each label asks for ten others."""
+    """How well vectors find their own label: every vec_id divisible by 20 asks all other rows for ten, averaged per label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("e"))
-    asks = e.groupBy("label").agg(F.min(F.struct("vec_id", "e")).alias("q"), (F.count("*") - 1).alias("n_targets"))
-    asks = asks.select(F.col("label").alias("query"), F.col("q.vec_id").alias("q_id"), F.col("q.e").alias("q"), "n_targets")
-    met = e.join(F.broadcast(asks), F.col("vec_id") != F.col("q_id"))  # a row per label
+    asks = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("want"), F.col("e").alias("q"))
+    blocks = -(-asks.count() // ASKED_AT_ONCE) or 1
+    asks = asks.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    met = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asks, "block").where("vec_id <> query")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("s"), "vec_id"))
-    top = met.withColumn("s", F.round(V.cosine("e", "q"), 6)).withColumn("rank", rank).where("rank <= 10")
-    hits = top.where("label = query").select("query", "rank", "n_targets")
-    return EV.ndcg(hits).select("query", F.round("ndcg", 6).alias("ndcg"), "top1")
+    top = met.select("query", "want", "label", "vec_id", F.round(V.cosine("e", "q"), 6).alias("s")).withColumn("rank", rank).where("rank <= 10")
+    targets = e.groupBy(F.col("label").alias("want")).agg((F.count("*") - 1).alias("n_targets"))
+    per = EV.ndcg(asks.join(targets, "want").select("query", "n_targets"), top.where("label = want").select("query", "rank"))
+    by_label = per.join(asks.select("query", "want"), "query").groupBy(F.col("want").alias("label"))
+    return by_label.agg(F.count("*").alias("n_queries"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("top1"), 6).alias("top1"))
 
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +108,8 @@ def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", ".", 1).alias("q"))
-    return d.select("doc_id", T.lexical_weight(F.col("q")).alias("lexical_weight"))
+    """Every text as a query."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.lexical_weight(F.col("text")).alias("lexical_weight"))
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,15 +202,15 @@ SQL = {
     "hybrid_search": _HYBRID,
     "vector_knn_per_label": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (SELECT vec_id, label, {_COS} AS score FROM embeddings)) WHERE rank <= 3",
     "ndcg_eval": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-        q AS (SELECT label AS query, min(vec_id) AS q_id, count(*) - 1 AS n FROM e GROUP BY label),
-        t AS (SELECT q.query, q.n, e.label, e.vec_id, row_number() OVER (PARTITION BY q.query ORDER BY round(list_cosine_similarity(e.e, x.e), 6) DESC, e.vec_id) AS rank
-              FROM q JOIN e x ON x.vec_id = q.q_id JOIN e ON e.vec_id <> q.q_id)
-        SELECT query, round(sum(1 / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(any_value(n), 10) + 1) r(i)), 6) AS ndcg, max(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS top1
-        FROM t WHERE rank <= 10 AND label = query GROUP BY query""",
+        q AS (SELECT x.vec_id AS query, x.label AS want, x.e AS q, t.n FROM e x JOIN (SELECT label, count(*) - 1 AS n FROM e GROUP BY label) t ON x.label = t.label WHERE x.vec_id % 20 = 0),
+        t AS (SELECT q.query, q.want, e.label, row_number() OVER (PARTITION BY q.query ORDER BY round(list_cosine_similarity(e.e, q.q), 6) DESC, e.vec_id) AS rank FROM q JOIN e ON e.vec_id <> q.query),
+        d AS (SELECT query, sum(1 / log2(rank + 1)) AS dcg, max(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS top1 FROM t WHERE rank <= 10 AND label = want GROUP BY query),
+        s AS (SELECT q.query, q.want, CASE WHEN q.n > 0 THEN coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(q.n, 10) + 1) r(i)) ELSE 0 END AS ndcg, coalesce(top1, 0) AS top1 FROM q LEFT JOIN d ON q.query = d.query)
+        SELECT want AS label, count(*) AS n_queries, round(avg(ndcg), 6) AS ndcg, round(avg(top1), 6) AS top1 FROM s GROUP BY want""",
     "split_identifiers": """SELECT name, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\W]+'), lambda x: x <> ''), ' ') AS parts
         FROM (SELECT DISTINCT name FROM symbols)""",
     "query_classify": f"""SELECT doc_id, CASE WHEN q IS NULL THEN NULL WHEN regexp_matches(trim(q, ' '), '{T.IDENTIFIER_QUERY}') OR len(regexp_split_to_array(trim(q, ' '), '\\s+')) <= 2 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS lexical_weight
-        FROM (SELECT doc_id, split_part(text, '.', 1) AS q FROM documents)""",
+        FROM (SELECT doc_id, text AS q FROM documents)""",
     "content_hash": "SELECT DISTINCT chunk_id, sha256(content) AS hash, sha256(content) = content_hash AS agrees FROM chunks",
     "path_flags": f"""SELECT file_path, regexp_replace(split_part(file_path, '/', -1), '(.)\\.[^.]*$', '\\1') AS stem, CASE lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) {_LANG} END AS language,
         regexp_matches(file_path, '{T.TEST_PATH}') AS is_test, regexp_matches(file_path, '{T.COMPAT_PATH}') AS is_compat FROM (SELECT DISTINCT file_path FROM symbols)""",
@@ -216,3 +221,11 @@ SQL = {
         s AS (SELECT DISTINCT file_path, node_id, start_line, end_line FROM symbols WHERE kind IN ('class', 'function', 'method') AND end_line >= start_line)
         SELECT chunk_type, count(*) AS n_pairs, count(DISTINCT s.node_id || '|' || s.start_line) AS n_definitions FROM c JOIN s ON c.file_path = s.file_path AND c.start_line <= s.end_line AND c.end_line >= s.start_line GROUP BY chunk_type""",
 }
+SQL["search_with_neighbours"] = f"""WITH {_CHUNKS}, {_bm25_sql('ch', 'chunk_id', _CHUNK_WORDS, _CODE_TERMS)},
+    lr AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS lexical_rank FROM lex),
+    fu AS (SELECT chunk_id, {T.query_weights(CODE_QUERY)[0]} / (60 + lexical_rank) AS s, NULL AS semantic_rank, lexical_rank FROM lr),{_HYBRID.split("    fu AS")[1].split(chr(10), 1)[1].rsplit("    SELECT chunk_id, file_path", 1)[0].rstrip()},
+    top AS (SELECT chunk_id, round(b + CASE WHEN rn = 1 AND m > 0 THEN 0.2 * m * fs / fmax ELSE 0 END, 6) AS score FROM fm ORDER BY score DESC, chunk_id LIMIT 20),
+    o AS (SELECT DISTINCT t.chunk_id, c.symbol_id FROM top t JOIN ch c USING (chunk_id) WHERE c.symbol_id IS NOT NULL),
+    nb AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
+    near AS (SELECT DISTINCT o.chunk_id, nb.b AS neighbour_id FROM o JOIN nb ON nb.a = o.symbol_id AND nb.b <> o.symbol_id WHERE nb.b IN (SELECT node_id FROM symbols))
+    SELECT top.chunk_id, near.neighbour_id FROM top LEFT JOIN near USING (chunk_id)"""

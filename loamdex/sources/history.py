@@ -17,6 +17,28 @@ def commits(logs: DataFrame, text: str = "content", keep: list[str] | None = Non
     )
 
 
+def file_changes(logs: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
+    """``keep..., commit_id, file_path, added, removed``: the files of each commit, from logs with numbers (``git log --numstat``) or with statistics (``--stat``).
+
+    Counts are null for binary files and in statistics, which have only a sum.
+    """
+    keep = keep or []
+    parts = F.filter(F.split(F.col(text), r"(?m)^(?=commit [0-9a-f]{7,64})"), lambda x: x.rlike(r"^commit [0-9a-f]{7,64}"))
+    one = logs.where(F.col(text).isNotNull()).select(*keep, F.explode(parts).alias("c"))
+    lines = one.select(*keep, F.regexp_extract("c", r"^commit ([0-9a-f]+)", 1).alias("commit_id"), F.explode(F.split("c", r"\r?\n")).alias("l"))
+    numbers, sums = r"^(\d+|-)\t(\d+|-)\t(.+)$", r"^ (\S.*?) +\| +(?:\d+ ?[+-]*|Bin .*)$"
+    is_number = F.col("l").rlike(numbers)
+    got = lines.where(is_number | F.col("l").rlike(sums))
+    count = lambda i: F.when(is_number, F.regexp_extract("l", numbers, i).try_cast("int"))
+    path = F.when(is_number, F.regexp_extract("l", numbers, 3)).otherwise(F.regexp_extract("l", sums, 1))
+    return got.select(*keep, "commit_id", path.alias("file_path"), count(1).alias("added"), count(2).alias("removed"))
+
+
+def changed_files(old: DataFrame, new: DataFrame, untracked: DataFrame) -> DataFrame:
+    """``file_path``: what a comparison names on either side (``file_path`` of each) and what is not tracked, once each."""
+    return old.select("file_path").union(new.select("file_path")).union(untracked.select("file_path")).where("file_path is not null").distinct()
+
+
 def churn(changes: DataFrame, by: str, commit: str) -> DataFrame:
     """``by, n_commits``: distinct commits per file or author."""
     return changes.where(F.col(by).isNotNull()).groupBy(by).agg(F.countDistinct(commit).alias("n_commits"))

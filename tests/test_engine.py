@@ -1,8 +1,10 @@
 import os
 
+from pyspark.sql import functions as F
+
 from loamdex.plans.engine import Engine
 from loamdex.sources import history as H, parse as P
-from loamdex.sources.coderepo import CodeRepo, ignored
+from loamdex.sources.coderepo import CodeRepo, ignored, path_ignored
 
 AUTH = '''import os
 from app.util import helper as h
@@ -55,7 +57,46 @@ def test_parse_python():
     assert {("app/auth.py:Auth", "symbol:Base", "INHERITS"), ("app/auth.py:Auth.check", "call:h", "CALLS"), ("file:app/auth.py", "module:os", "IMPORTS"), ("file:app/auth.py", "symbol:app.util.helper", "IMPORTS")} <= edges
     assert sum(r["tag"] == "chunk" for r in rows) == len(sym)
     broken = P.parse_python("b.py", "def f(:\n  pass\nclass C\n")
-    assert [r["node_id"] for r in broken] == ["b.py:f", "b.py:C", "file:b.py"] and broken[-1]["name"] == "chunk:file:b.py" or broken[-1]["name"] == "b.py:1-3"
+    assert [r["node_id"] for r in broken] == ["b.py:f", "b.py:C", None]
+    assert (broken[-1]["name"], broken[-1]["chunk_type"], broken[-1]["identifiers"]) == ("b.py:1-3", "code", ["f", "C"])
+
+
+def test_parse_calls_tests_and_identifiers():
+    code = 'class T:\n    def test_join(self):\n        a.b(c(1))[0](2)\n        x.y.z()\n        a.b()\n'
+    rows = P.parse_python("pkg/Test_a.py", code)
+    edges = {(r["target_id"], r["edge_type"]) for r in rows if r["tag"] == "edge"}
+    assert {("symbol:join", "TESTED_BY"), ("call:a.b", "CALLS"), ("call:c", "CALLS"), ("call:x.y.z", "CALLS"), ("call:a.b(c(1))[0]", "CALLS")} <= edges
+    chunks = {r["node_id"]: r for r in rows if r["tag"] == "chunk"}
+    assert chunks["pkg/Test_a.py:T.test_join"]["identifiers"] == ["test_join", "T"] and {c["chunk_type"] for c in chunks.values()} == {"test"}
+    assert [r["identifiers"] for r in P.parse_generic("src/a.go", "package a\n", "go") if r["tag"] == "chunk"] == [["a"]]
+
+
+def test_only_changed_files_are_opened(spark, tmp_path, monkeypatch):
+    root, engine = tmp_path / "two", Engine(spark, str(tmp_path / "index"))
+    root.mkdir()
+    (root / "a.py").write_text("def a():\n    return 1\n")
+    (root / "b.py").write_text("def b():\n    return 1\n")
+    opened = []
+    for edit, want in ((None, 2), (None, 0), ("def a():\n    return 22\n", 1)):
+        if edit:
+            (root / "a.py").write_text(edit)
+        opened.append(engine.changes(str(root))[1].count())
+        assert engine.index(str(root)) == want
+    assert opened == [2, 0, 1]
+
+
+def test_ignored_paths(spark):
+    rows = spark.createDataFrame([("a/b.py",), ("a/.git/x",), ("node_modules/x.js",), ("a/b.pyc",), ("/dist/x",), ("builds/x",)], "p string")
+    assert [r[0] for r in rows.select(path_ignored(F.col("p"))).collect()] == [False, True, True, True, True, False]
+
+
+def test_file_changes(spark):
+    log = "commit abcdef0123\nAuthor: ann\n\n    first\n\n3\t1\tsrc/a.py\n-\t-\timg.png\n\ncommit 0123abcdef\n\n    second\n\n src/a.py | 4 ++--\n 1 file changed\n"
+    got = H.file_changes(spark.createDataFrame([(log,), (None,)], "content string"))
+    assert sorted(tuple(r) for r in got.where("added is not null").collect()) == [("abcdef0123", "src/a.py", 3, 1)]
+    assert {r["file_path"]: r["n_commits"] for r in H.churn(got, "file_path", "commit_id").collect()} == {"src/a.py": 2, "img.png": 1}
+    one = spark.createDataFrame([("a",), (None,)], "file_path string")
+    assert [r[0] for r in H.changed_files(one, one, spark.createDataFrame([("u",)], "file_path string")).orderBy("file_path").collect()] == ["a", "u"]
 
 
 def test_parse_generic():
@@ -74,11 +115,24 @@ def test_index_search_incremental_wiki(spark, tmp_path):
     assert ("main", "Auth.check") in links
     assert any("main" in r["node_id"] for r in engine.impact("Auth.check").collect())
     assert engine.graph("Auth.check").count() >= 2
-    assert engine.wiki().where("content like '%Checks tokens%'").count() == 1
+    pages = engine.wiki()
+    assert pages.where("content like '%Checks tokens%' and file_path is not null").count() == 1
+    assert {r["page"] for r in pages.where("file_path is null").collect()} == {"index", "architecture", "workflows"}
+    assert pages.where("file_path like '%__init__.py'").count() == 1  # a file without definitions has a page too
+    plan = engine.search("check token", expand=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "IMPORTS" not in plan  # links were made with the snapshot
+    assert engine.metadata() == {"embedding_model": "hashed-trigrams", "embedding_dim": "64", "stemmed": "true"}
+    assert engine.search("checking tokenés", limit=1, mode="lexical").first()["symbol_id"].endswith("auth.py:Auth.check")
+    shown = engine.answer("check token", 2).first()
+    assert shown["score"] == round(shown["score"], 4) and len(shown["neighbours"]) <= 3
+    assert engine.affected("Auth.check") == engine.impact("Auth.check").count() > 0
     (root / "app/util.py").write_text(UTIL + "\n\ndef fresh():\n    return 2\n")
     os.remove(root / "web/view.ts")
     assert engine.index(str(root)) == 2  # util.py and the link to it
     assert engine.table("symbols").where("name in ('View', 'fresh')").select("name").distinct().collect()[0][0] == "fresh"
+    engine.write_wiki(str(tmp_path / "wiki"))
+    assert engine.table("chunks").where("chunk_type = 'wiki'").count() > 3 and (tmp_path / "wiki/page=index").exists()
+    assert engine.search("Workflows Modules", limit=1, mode="lexical").first()["chunk_type"] == "wiki"
     q = engine.watch(str(root), once=True)
     q.awaitTermination(60)
     assert q.exception() is None

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from loamdex.operators import evaluate as EV, graph as G, tables as T
@@ -113,9 +115,36 @@ def test_intervals_against_brute_force(spark):
 
 
 def test_ndcg(spark):
-    d = spark.createDataFrame([("q", 1, 2), ("q", 1, 2), ("q", 3, 2), ("p", 12, 1), ("n", 1, 0)], "query string, rank int, n_targets int")
-    got = {r["query"]: (round(r["ndcg"], 6), r["top1"]) for r in EV.ndcg(d).collect()}
-    assert got["q"] == (round((1 + 0.5) / (1 + 1 / 1.5849625007), 6), 1) and got["p"] == (0.0, 0) and got["n"] == (0.0, 1)
+    asked = spark.createDataFrame([("q", 2), ("p", 1), ("n", 0), ("none", 3)], "query string, n_targets int")
+    hits = spark.createDataFrame([("q", 1), ("q", 1), ("q", 3), ("p", 12), ("n", 1)], "query string, rank int")
+    got = {r["query"]: (round(r["ndcg"], 6), r["top1"]) for r in EV.ndcg(asked, hits).collect()}
+    best = 1 + 1 / math.log2(3)
+    assert got == {"q": (round(1.5 / best, 6), 1), "p": (0.0, 0), "n": (0.0, 1), "none": (0.0, 0)}
+
+
+def test_evaluation(spark):
+    results = spark.createDataFrame([("q", 1, "src/a.py", 1, 9), ("q", 2, "src/b.py", 20, 30), ("q", 3, "src/b.py", 1, 9), ("r", 1, "x.py", 1, 2)], "query string, rank int, file_path string, start_line int, end_line int")
+    targets = spark.createDataFrame([("q", "symbol", "b.py", 5, 6), ("q", "symbol", "repo/src/a.py", None, None), ("r", "semantic", "y.py", None, None), ("none", "semantic", None, None, None)], "query string, category string, path string, start_line int, end_line int")
+    assert {(r["query"], r["target"]["path"], r["rank"]) for r in EV.first_hits(results, targets).collect()} == {("q", "b.py", 3), ("q", "repo/src/a.py", 1)}
+    per, means = EV.evaluation(results, targets)
+    got = {r["query"]: (r["n_targets"], round(r["ndcg10"], 4), r["top1"]) for r in per.collect()}
+    assert got == {"q": (2, round(1.5 / (1 + 1 / math.log2(3)), 4), 1), "r": (1, 0.0, 0), "none": (0, 0.0, 0)}
+    assert {r["category"]: r["n_queries"] for r in means.collect()} == {None: 3, "symbol": 1, "semantic": 2}
+
+
+def test_exports_are_whole_documents(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+
+    sym = spark.createDataFrame([('a"<', "function", "a", "f.py"), ("lone", "function", "l", "f.py")], "node_id string, kind string, name string, file_path string")
+    edges = spark.createDataFrame([('a"<', "b&", "CALLS"), ('a"<', "b&", "CALLS"), (None, "c", "CALLS")], "source_id string, target_id string, edge_type string")
+    read = lambda form: "\n".join(p.read_text().rstrip("\n") for p in sorted((tmp_path / form).glob("part-*")) if p.stat().st_size)
+    for form in ("dot", "graphml"):
+        G.export_graph(sym, edges, str(tmp_path / form), form.upper())
+    ns = "{http://graphml.graphdrawing.org/xmlns}"
+    tree = ET.fromstring(read("graphml").encode())
+    assert {n.get("id") for n in tree.iter(f"{ns}node")} == {'a"<', "b&", "lone", "c"} and [(e.get("source"), e.get("target")) for e in tree.iter(f"{ns}edge")] == [('a"<', "b&")]
+    dot = read("dot").split("\n")
+    assert dot[0] == "digraph G {" and dot[-1] == "}" and '  "a\\"<" -> "b&" [label="CALLS"];' in dot and '  "lone";' in dot
 
 
 def test_wiki_holds_everything(spark):
