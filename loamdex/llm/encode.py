@@ -34,18 +34,22 @@ UNIT_SPLIT = r"(?<=\S)(?= \S)"
 MAX_REMEMBERED = 1_000_000
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> tuple[dict[bytes, int], list[bytes]]:
-    """Rank of every token, and every token by rank."""
+def _file(path: str) -> bytes:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+@lru_cache(maxsize=4)
+def vocabulary(source: str | bytes) -> tuple[dict[bytes, int], list[bytes]]:
+    """Rank of every token, and every token by rank, from a vocabulary file or what it holds."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (source if isinstance(source, bytes) else _file(source)).splitlines())}
     tokens = [b""] * (max(ranks.values()) + 1)
     for t, r in ranks.items():
         tokens[r] = t
     return ranks, tokens
 
 
-def replay_merges(words: list[bytes], path: str) -> list[list[int]]:
+def replay_merges(words: list[bytes], path: str | bytes) -> list[list[int]]:
     """Token ids of each word. Words must be distinct only for speed."""
     ranks, tokens = vocabulary(path)
     tok: list[int] = []
@@ -106,7 +110,7 @@ def replay_merges(words: list[bytes], path: str) -> list[list[int]]:
 class _Memory:
     """Ids of the units a task has met, as one flat array with offsets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | bytes):
         self.path, self.words = path, regex.compile(PATTERN)
         self.clear()
 
@@ -157,8 +161,10 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str = DEFA
     schema = StructType([*(df.schema[c] for c in keep), StructField(out, kind, False)])
     units = df.select(*keep, F.split(F.coalesce(F.col(text), F.lit("")), UNIT_SPLIT).alias("__units"))
 
+    shared = df.sparkSession.sparkContext.broadcast(_file(path))  # a fixed file; executors need not have it
+
     def run(batches):
-        memory = _Memory(path)
+        memory = _Memory(shared.value)
         for b in batches:
             ids, offsets = memory.encode(b.column("__units"))
             if lengths_only:

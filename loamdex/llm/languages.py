@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,10 @@ from loamdex.session import Stages
 
 #: n-grams of 1 to LONGEST characters; the first PROFILE of a language and the first OWN of a sentence count.
 LONGEST, PROFILE, OWN = 4, 6000, 300
-#: Sentences whose n-grams are held at a time.
-TOGETHER = 500
+#: Bits for the number of an n-gram among all profiles, enough for 170 languages.
+KEY_BITS = 20
+#: Sentences whose n-grams are held at a time, and distinct ones whose distances a task remembers before it starts afresh.
+TOGETHER, REMEMBERED = 500, 200_000
 #: Labelled documents per language that the profiles are fitted on, at most.
 TRAINING_DOCS = 300
 #: A sentence needs this lead over the second language to bring a language into a document of its own.
@@ -52,12 +54,13 @@ _NAME = (
     r"|[A-Z][A-Za-z0-9]*+(?:(?:[_/.\\]++[A-Za-z0-9]++)++(?:\(\))?|\(\))|[0-9]++)"
     r"|\n(?<=[\p{L},;]\n)[ \t]*+(?=\p{Ll})"
 )
+_CODE_SIGNS = r"[{}();=<>\[\]]|:\s*$"
 _STOP = (".", "!", "?", "…", "。", "！", "？")
 _CLOSE = ('"', "'", "»", "”", "’", ")", "]")
 
 
-def sentences(text: Column) -> Column:
-    """Whole sentences of a text in order, without what has no language. Null gives none."""
+def _lines(text: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Lines of at most one sentence each, without what has no language, and whether such a line is a whole sentence."""
     t = F.coalesce(text, F.lit(""))
     t = F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, _STRUCTURE, ""), _NAME, " ")
@@ -67,7 +70,22 @@ def sentences(text: Column) -> Column:
         last = F.substring(F.rtrim(s), -1, 1)
         return last.isin(*_STOP) | (last.isin(*_CLOSE) & s.rlike(r"[.!?…。！？][\"'»”’)\]]++\s*+$"))
 
-    return F.filter(F.split(t, "\n"), whole)
+    return F.split(t, "\n"), whole
+
+
+def sentences(text: Column) -> Column:
+    """Whole sentences of a text in order, without what has no language. Null gives none."""
+    lines, whole = _lines(text)
+    return F.filter(lines, whole)
+
+
+def _units(text: Column) -> Column:
+    """``s, whole``: the whole sentences of a text, or, where it has none, its lines with letters and without the signs of code."""
+    lines, whole = _lines(text)
+    marked = F.filter(F.transform(lines, lambda x: F.struct(x.alias("s"), whole(x).alias("whole"))), lambda x: x["whole"] | (x["s"].rlike(r"\p{L}") & ~x["s"].rlike(_CODE_SIGNS)))
+    found = F.filter(marked, lambda x: x["whole"])
+    any_whole = F.exists(marked, lambda x: x["whole"])
+    return F.struct(F.transform(F.when(any_whole, found).otherwise(marked), lambda x: x["s"]).alias("s"), any_whole.alias("whole"))
 
 
 def label_names(codes: DataFrame) -> dict[str, str]:
@@ -140,6 +158,8 @@ class Profiles:
     def __init__(self, ranked: dict[str, np.ndarray]):
         self.langs = sorted(ranked)
         self.keys = np.unique(np.concatenate([ranked[x] for x in self.langs]))
+        if len(self.keys) >= 1 << KEY_BITS:
+            raise ValueError(f"{len(self.keys)} n-grams in all profiles, {1 << KEY_BITS} are one too many")
         self.rank = np.full((len(self.langs), len(self.keys)), PROFILE, np.int32)
         for i, x in enumerate(self.langs):
             self.rank[i, np.searchsorted(self.keys, ranked[x])] = np.arange(len(ranked[x]))
@@ -175,13 +195,14 @@ class Profiles:
         out = np.ones((len(texts), len(self.langs)))
         who, what = grams(texts)
         at, known = self._find(what)
-        pair, count = np.unique(who[known] << 20 | at[known], return_counts=True)
+        pair, count = np.unique(who[known] << KEY_BITS | at[known], return_counts=True)
         if not len(pair):
             return out
         # In the order of a text's most frequent n-grams; the count is below 2^15 or as good as that.
         often = 32767 - np.minimum(count, 32767)
-        pair = np.sort((pair >> 20) << 35 | often << 20 | pair & 0xFFFFF)
-        who, at = pair >> 35, pair & 0xFFFFF
+        keys = (1 << KEY_BITS) - 1
+        pair = np.sort((pair >> KEY_BITS) << KEY_BITS + 15 | often << KEY_BITS | pair & keys)
+        who, at = pair >> KEY_BITS + 15, pair & keys
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
         rank = np.arange(len(who)) - np.repeat(first, np.diff(np.concatenate([first, [len(who)]])))
         own = rank < OWN
@@ -262,31 +283,60 @@ def train(documents: DataFrame, codes: DataFrame, text: str = "text", label: str
     return profiles
 
 
-def segments(documents: DataFrame, profiles: Profiles, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, segment_no, lang, confidence, n_sentences, n_letters`` of every document.
+class _Seen:
+    """Distances, nearest language, lead and letters of the distinct sentences that a task has met."""
+
+    def __init__(self, profiles: Profiles):
+        self.p = profiles
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.far, self.letters, self.enough = np.zeros((0, len(self.p.langs))), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        if len(self.row) > REMEMBERED:
+            self.clear()
+        new = [t for t in texts if t not in self.row]
+        if new:
+            clean = [_clean(t) for t in new]
+            for t in new:
+                self.row[t] = len(self.row)
+            self.far = np.concatenate([self.far, self.p.distances(clean)])
+            self.letters = np.concatenate([self.letters, np.array([len(t) - t.count(" ") for t in clean], np.int64)])
+            self.enough = np.concatenate([self.enough, np.array([_enough(t) for t in clean], bool)])
+        return np.fromiter(map(self.row.__getitem__, texts), np.int64, len(texts))
+
+
+def segments(documents: DataFrame, profiles: Profiles, text: str = "text", key: str = "doc_id", keep: dict[str, Column] | None = None) -> DataFrame:
+    """``key, segment_no, lang, confidence, n_sentences, n_letters`` of every document, and the string columns ``keep``.
 
     A sentence that is nearest to a language only by a hair takes the language
-    among those the document's clear sentences are in. A document without a
-    sentence (null, empty, only listings) has one row with segment_no 0 and null lang.
+    among those the document's clear sentences are in. Where a document has no whole
+    sentence, as a title without a stop, its lines of ``LETTERS`` letters and more that are not
+    code are looked at instead and n_sentences is 0. A document without either (null, empty, only listings) has one row
+    with segment_no 0 and null lang.
     """
+    keep = keep or {}
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
-    units = documents.select(F.col(key), sentences(F.col(text)).alias("s"))
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, segment_no int, lang string, confidence double, n_sentences int, n_letters int"
+    units = documents.select(F.col(key), *(c.alias(n) for n, c in keep.items()), _units(F.col(text)).alias("u")).select(key, *keep, "u.s", "u.whole")
+    schema = f"{key} {documents.schema[key].dataType.simpleString()}, " + "".join(f"{n} string, " for n in keep) + "segment_no int, lang string, confidence double, n_sentences int, n_letters int"
+
+    names = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Profiles = shared.value
+        seen = _Seen(p)
         for b in batches:
             lists = b.column("s")
             coded = lists.flatten().dictionary_encode()
-            texts = [_clean(s) for s in coded.dictionary.to_pylist()]
-            ok = np.array([_enough(t) for t in texts], bool)
-            far = p.distances(texts)
+            row = seen.rows(coded.dictionary.to_pylist())
+            far, letters, ok = seen.far[row], seen.letters[row], seen.enough[row]
             near, lead = _best(far)
-            letters = np.array([len(t) - t.count(" ") for t in texts], np.int64)
             index = np.asarray(coded.indices, np.int64)
             ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
             rows: list[tuple] = []
-            for d, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
+            for d, (s, e, whole) in enumerate(zip(ends[:-1], ends[1:], b.column("whole").to_pylist())):
                 mine = index[s:e]
                 mine = mine[ok[mine]]
                 if not len(mine):
@@ -300,24 +350,25 @@ def segments(documents: DataFrame, profiles: Profiles, text: str = "text", key:
                 cut = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1], [True]]))
                 for no, (i, j) in enumerate(zip(cut, cut[1:])):
                     w = letters[mine[i:j]]
-                    rows.append((d, no, p.langs[lang[i]], float((lead[mine[i:j]] * w).sum() / w.sum()), int(j - i), int(w.sum())))
+                    rows.append((d, no, p.langs[lang[i]], float((lead[mine[i:j]] * w).sum() / w.sum()), int(j - i) if whole else 0, int(w.sum())))
             at, *rest = zip(*rows) if rows else ([],) * 6
-            cols = [b.column(key).take(pa.array(at, pa.int64()))]
+            cols = [b.column(c).take(pa.array(at, pa.int64())) for c in names]
             cols += [pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "segment_no", "lang", "confidence", "n_sentences", "n_letters"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "segment_no", "lang", "confidence", "n_sentences", "n_letters"])
 
     return units.mapInArrow(run, schema)
 
 
 def label_documents(documents: DataFrame, codes: DataFrame, profiles: Profiles, text: str = "text", label: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``key, given, lang, share, confidence``: each language of a document and what its label names.
+    """``key, given, lang, share, confidence, n_sentences``: each language of a document and what its label names.
 
     ``share`` is the language's part of the letters. Documents without a
-    sentence have one row with null lang.
+    language have one row with null lang; see ``segments``. Keys are unique.
     """
-    given = documents.select(key, named_language(F.col(label), label_names(codes)).alias("given"))
-    per = segments(documents, profiles, text, key).groupBy(key, "lang").agg(
-        F.sum("n_letters").alias("n"), (F.sum(F.col("confidence") * F.col("n_letters")) / F.sum(F.when(F.col("n_letters") > 0, F.col("n_letters")))).alias("confidence")
+    given = {"given": named_language(F.col(label), label_names(codes))}
+    n = F.col("n_letters")
+    per = segments(documents, profiles, text, key, given).groupBy(key, "given", "lang").agg(
+        F.sum(n).alias("n"), (F.sum(F.col("confidence") * n) / F.sum(F.when(n > 0, n))).alias("confidence"), F.sum("n_sentences").alias("n_sentences")
     )
     total = F.sum("n").over(W.partitionBy(key))
-    return per.withColumn("share", F.when(total > 0, F.col("n") / total)).join(given, key).select(key, "given", "lang", "share", "confidence")
+    return per.withColumn("share", F.when(total > 0, F.col("n") / total)).select(key, "given", "lang", "share", "confidence", "n_sentences")

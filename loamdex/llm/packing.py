@@ -31,24 +31,51 @@ def items(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_t
     )
 
 
+def _layer(best: np.ndarray, s: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every j the least of ``best[i]`` and the padding of the sizes i..j-1, and that i.
+
+    The best i never falls as j grows, so each j halves the choice of those beside it: all j of
+    one depth are looked at together, over as many i as there are sizes.
+    """
+    n = len(s)
+    least, arg = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+    lo, hi, first, last = (np.array([x]) for x in (1, n, 0, n - 1))
+    while len(lo):
+        mid = (lo + hi) // 2
+        length = np.minimum(last, mid - 1) - first + 1
+        at = np.cumsum(length) - length
+        i = np.arange(length.sum()) - np.repeat(at - first, length)
+        j = np.repeat(mid, length)
+        value = best[i] + s[j - 1] * (count[j] - count[i]) - (total[j] - total[i])
+        low = np.minimum.reduceat(value, at)
+        hit = np.flatnonzero(value == np.repeat(low, length))
+        chosen = i[hit[np.searchsorted(hit, at)]]
+        least[mid], arg[mid] = low, chosen
+        lo, hi, first, last = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([first, chosen]), np.concatenate([chosen, last])
+        some = lo <= hi
+        lo, hi, first, last = lo[some], hi[some], first[some], last[some]
+    return least, arg
+
+
 def bucket_bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of the buckets that pad all items with the fewest tokens in total."""
+    """Upper bounds of the buckets that pad all items with the fewest tokens in total.
+
+    Takes ``buckets`` integers of memory per distinct size, and time in proportion to that and a logarithm.
+    """
     s = np.array(sorted(histogram), dtype=np.int64)
     if not len(s):
         return []
-    count = np.concatenate([[0], np.cumsum([histogram[x] for x in s.tolist()])]).astype(np.float64)
-    total = np.concatenate([[0], np.cumsum([x * histogram[x] for x in s.tolist()])]).astype(np.float64)
-    # pad[i, j]: items of the sizes i..j-1 padded to size j-1
-    pad = np.full((len(s) + 1, len(s) + 1), np.inf)
-    for j in range(1, len(s) + 1):
-        pad[:j, j] = s[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-    best, back = pad[0].copy(), []
+    each = np.array([histogram[x] for x in s.tolist()], dtype=np.float64)
+    count, total = (np.concatenate([[0.0], np.cumsum(x)]) for x in (each, each * s))
+    best = np.concatenate([[np.inf], s * count[1:] - total[1:]])
+    back: list[np.ndarray] = []
     for _ in range(min(buckets, len(s)) - 1):
-        t = best[:, None] + pad
-        arg = np.argmin(t, axis=0)
-        least = t[arg, np.arange(len(s) + 1)]
-        back.append(np.where(least < best, arg, -1))
-        best = np.minimum(least, best)
+        least, arg = _layer(best, s, count, total)
+        better = least < best
+        if not better.any():
+            break
+        back.append(np.where(better, arg, -1).astype(np.int32))
+        best = np.where(better, least, best)
     out, j = [], len(s)
     for b in [*reversed(back), None]:
         if b is not None and b[j] < 0:

@@ -82,9 +82,9 @@ def _profiles(spark: SparkSession, sf_dir: str):
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of a document that its label doesn't name."""
+    """Languages in which a document has a whole sentence and that its label doesn't name."""
     per = L.label_documents(*_profiles(spark, sf_dir))
-    return per.where("lang is not null and (given is null or given <> lang)").select("doc_id", F.col("lang").alias("true_lang"))
+    return per.where("lang is not null and n_sentences > 0 and (given is null or given <> lang)").select("doc_id", F.col("lang").alias("true_lang"))
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -93,3 +94,31 @@ def test_plan_places_all(bounds, counts):
             c = first + (rank - start) // per
             room[c] = room.get(c, 0) + bounds[b]
     assert all(v <= 10 for v in room.values())
+
+
+def test_bounds_of_a_large_capacity():
+    sizes = np.random.default_rng(4).integers(1, 1000, 65536)
+    bounds = P.bucket_bounds({i: int(n) for i, n in enumerate(sizes, 1)})
+    assert len(bounds) == P.BUCKETS and bounds[-1] == 65536 and bounds == sorted(set(bounds))
+
+
+def test_fill_against_the_lower_bound(spark, sf):
+    """No packing needs fewer containers than all tokens fill, nor than there are items above half a container."""
+    from loamdex.llm import queries as Q
+
+    got = Q.p7_fill(spark, sf.replace("0.001", "0.01")).first()
+    items = Q.p7_containers(spark, sf.replace("0.001", "0.01"))
+    least = max(-(-got["n_tokens"] // 2048), items.where("n > 1024").count())
+    assert got["largest"] <= 2048 and items.groupBy("container_id").sum("n").where("sum(n) > 2048").isEmpty()
+    assert least <= got["n_containers"] <= 1.06 * least + 2
+
+
+def test_vocabulary_comes_with_the_job(spark, tmp_path):
+    """The file is read where the job brought it, so that its own place may be gone."""
+    import shutil
+
+    own = tmp_path / "vocabulary.tiktoken"
+    shutil.copy(E.DEFAULT_VOCABULARY, own)
+    df = E.encode(spark.createDataFrame([(1, "two words")], "doc_id long, text string"), path=str(own))
+    own.unlink()
+    assert len(df.first()["ids"]) == 2

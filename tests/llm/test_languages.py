@@ -85,3 +85,19 @@ def test_distance_against_brute_force(fitted):
     for i, lang in enumerate(p.langs):
         far = [abs(int(p.rank[i, at[g]]) - r) if p.rank[i, at[g]] < L.PROFILE else L.PROFILE for r, g in enumerate(known)]
         assert p.distances([text])[0, i] == pytest.approx(sum(far) / len(far) / L.PROFILE)
+
+
+def test_texts_without_a_stop_have_a_language(spark, fitted):
+    texts = ["Fix the race in the cache loader and keep the old entries until the next reload", "Der Zwischenspeicher wird beim nächsten Start neu aufgebaut", "```\nlisting only\n```", None, "", "12 34", "ok", "It is whole. and this is not"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang"], r["n_sentences"]) for r in L.segments(docs, fitted[2]).collect()}
+    assert got[0] == ("en", 0) and got[1] == ("de", 0) and got[7] == ("en", 1)
+    assert all(got[i] == (None, 0) for i in (2, 3, 4, 5, 6))
+
+
+def test_too_many_ngrams_are_an_error():
+    import numpy as np
+
+    n = 1 << L.KEY_BITS
+    with pytest.raises(ValueError):
+        L.Profiles({f"l{i}": np.arange(i * L.PROFILE, (i + 1) * L.PROFILE, dtype=np.uint64) for i in range(n // L.PROFILE + 1)})
