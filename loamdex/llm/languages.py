@@ -79,13 +79,15 @@ def sentences(text: Column) -> Column:
     return F.filter(lines, whole)
 
 
-def _units(text: Column) -> Column:
-    """``s, whole``: the whole sentences of a text, or, where it has none, its lines with letters and without the signs of code."""
+def _units(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``s``, the whole sentences of a text or, where it has none, its lines with letters and without the signs of code, and ``whole``.
+
+    Step by step, so that Spark works each column out once.
+    """
     lines, whole = _lines(text)
-    marked = F.filter(F.transform(lines, lambda x: F.struct(x.alias("s"), whole(x).alias("whole"))), lambda x: x["whole"] | (x["s"].rlike(r"\p{L}") & ~x["s"].rlike(_CODE_SIGNS)))
-    found = F.filter(marked, lambda x: x["whole"])
-    any_whole = F.exists(marked, lambda x: x["whole"])
-    return F.struct(F.transform(F.when(any_whole, found).otherwise(marked), lambda x: x["s"]).alias("s"), any_whole.alias("whole"))
+    rest = lambda x: x.rlike(r"\p{L}") & ~x.rlike(_CODE_SIGNS)
+    found = rows.withColumn("__lines", lines).withColumn("__found", F.filter("__lines", whole))
+    return found.select(*rows.columns, F.when(F.size("__found") > 0, F.col("__found")).otherwise(F.filter("__lines", rest)).alias("s"), (F.size("__found") > 0).alias("whole"))
 
 
 def label_names(codes: DataFrame) -> dict[str, str]:
@@ -319,7 +321,8 @@ def segments(documents: DataFrame, profiles: Profiles, text: str = "text", key:
     """
     keep = keep or {}
     shared = documents.sparkSession.sparkContext.broadcast(profiles)
-    units = documents.select(F.col(key), *(c.alias(n) for n, c in keep.items()), _units(F.col(text)).alias("u")).select(key, *keep, "u.s", "u.whole")
+    rows = documents.select(F.col(key), *(c.alias(n) for n, c in keep.items()), F.col(text).alias("__text"))
+    units = _units(rows, F.col("__text")).drop("__text")
     schema = f"{key} {documents.schema[key].dataType.simpleString()}, " + "".join(f"{n} string, " for n in keep) + "segment_no int, lang string, confidence double, n_sentences int, n_letters int"
 
     names = [key, *keep]

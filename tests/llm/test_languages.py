@@ -88,7 +88,7 @@ def test_distance_against_brute_force(fitted):
 
 
 def test_texts_without_a_stop_have_a_language(spark, fitted):
-    texts = ["Fix the race in the cache loader and keep the old entries until the next reload", "Der Zwischenspeicher wird beim nächsten Start neu aufgebaut", "```\nlisting only\n```", None, "", "12 34", "ok", "It is whole. and this is not"]
+    texts = ["Fix the race in the cache loader and keep the old entries until the next reload", "Der Zwischenspeicher wird beim nächsten Start neu aufgebaut", "```\nlisting only\n```", None, "", "12 34", "ok", "It is whole by now. and this is not"]
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: (r["lang"], r["n_sentences"]) for r in L.segments(docs, fitted[2]).collect()}
     assert got[0] == ("en", 0) and got[1] == ("de", 0) and got[7] == ("en", 1)
