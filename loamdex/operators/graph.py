@@ -230,16 +230,20 @@ def link(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     ).distinct()
     plain = ask.where("is_call").join(imports.where("import_name is not null"), "file").where("want = import_name or want = import_alias")
     named = sym.select(F.col("name").alias("import_name"), "node_id", "file_path", "start_line")
-    inside = F.contains(F.replace(F.col("file_path"), F.lit("/"), F.lit(".")), F.coalesce("module", F.lit("")))
-    first = W.partitionBy("file", "want").orderBy("seq", "module", "import_name", F.desc("inside"), "file_path", "start_line", "node_id")
-    r3 = plain.join(named, "import_name").withColumn("inside", inside).withColumn("k", F.row_number().over(first)).where("k = 1")
-    r3 = r3.select("file", "want", "is_call", F.lit(3).alias("rule"), F.col("node_id").alias("hit"))
+    dotted_path = F.replace(F.col("file_path"), F.lit("/"), F.lit("."))
+    # The best symbol is looked for once per name and module and not once per file that imports it.
+    inside = F.contains(dotted_path, F.coalesce("module", F.lit("")))
+    best = plain.select("import_name", "module").distinct().join(named, "import_name").groupBy("import_name", "module").agg(F.min(F.struct((~inside).alias("out"), "file_path", "start_line", "node_id")).alias("b"))
+    asked = plain.select("file", "want", "is_call", "seq", F.col("module").alias("m"), F.col("import_name").alias("i"))
+    r3 = asked.join(best, (F.col("i") == F.col("import_name")) & F.col("m").eqNullSafe(F.col("module")))
+    r3 = r3.groupBy("file", "want", "is_call").agg(F.min(F.struct("seq", "m", "i", "b")).alias("x"))
+    r3 = r3.select("file", "want", "is_call", F.lit(3).alias("rule"), F.col("x.b.node_id").alias("hit"))
     far = dotted.withColumn("mod", F.expr("substring(want, 1, length(want) - length(name) - 1)")).join(imports, "file")
-    far = far.where("import_alias = mod or import_name = mod or endswith(module, mod)").select("file", "want", "is_call", "seq", "module", F.col("name").alias("import_name"), "mod")
-    first = W.partitionBy("file", "want").orderBy("seq", "module", "file_path", "start_line", "node_id")
-    by_mod = F.contains(F.replace(F.col("file_path"), F.lit("/"), F.lit(".")), F.col("mod"))
-    r3b = far.join(named, "import_name").where(by_mod).withColumn("k", F.row_number().over(first)).where("k = 1")
-    r3b = r3b.select("file", "want", "is_call", F.lit(3).alias("rule"), F.col("node_id").alias("hit"))
+    far = far.where("import_alias = mod or import_name = mod or endswith(module, mod)").select("file", "want", "is_call", F.col("name").alias("i"), F.col("mod").alias("m")).distinct()
+    best = far.select(F.col("i").alias("import_name"), F.col("m").alias("mod")).distinct().join(named, "import_name").where(F.contains(dotted_path, F.col("mod")))
+    best = best.groupBy("import_name", "mod").agg(F.min(F.struct("file_path", "start_line", "node_id")).alias("b"))
+    r3b = far.join(best, (F.col("i") == F.col("import_name")) & (F.col("m") == F.col("mod")))
+    r3b = r3b.select("file", "want", "is_call", F.lit(3).alias("rule"), F.col("b.node_id").alias("hit"))
     hits = r2.unionByName(r3).unionByName(r3b).unionByName(r4).unionByName(r5).groupBy("file", "want", "is_call").agg(F.min(F.struct("rule", "hit")).alias("h"))
     got = raw.withColumn("is_call", F.col("edge_type") == "CALLS").join(
         hits.select(F.col("file").alias("f2"), F.col("want").alias("w2"), F.col("is_call").alias("c2"), "h.*"),
