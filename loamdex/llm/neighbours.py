@@ -312,7 +312,7 @@ def similar_pairs(vectors: DataFrame, least: float, key: str = "chunk_id", poste
     return every.groupBy(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).agg(F.max("cosine").alias("cosine"))
 
 
-def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", asked: int = 6, posted: int = 12, cut: float = 0.8) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, key: str = "chunk_id", asked: int = 6, posted: int = 14, cut: float = 0.85) -> DataFrame:
     """``key, rank, neighbour, cosine``: the k most similar other vectors of the same dim for every usable vector.
 
     Approximate: one of the first ``asked`` pivots of a vector must be among the first ``posted`` of
