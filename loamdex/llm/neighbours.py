@@ -52,13 +52,13 @@ def _named(vectors: DataFrame, key: str) -> DataFrame:
     return usable(vectors, key).withColumn("rid", F.xxhash64("dim", "embedding"))
 
 
-def choose_pivots(named: DataFrame) -> dict[int, np.ndarray]:
-    """Per dim a sample of the distinct vectors, ``MOST_PIVOTS`` at most, as unit rows.
+def choose_pivots(named: DataFrame, members: DataFrame) -> dict[int, np.ndarray]:
+    """Per dim, which ``members`` counts, a sample of the distinct vectors, ``MOST_PIVOTS`` at most, as unit rows.
 
     The sample is what hashes below a share, so nothing is sorted and the driver gets
     ``CANDIDATES`` vectors for each pivot wanted.
     """
-    counted = named.groupBy("dim").agg(F.approx_count_distinct("rid", 0.02).alias("n")).collect()  # a row per dim
+    counted = members.groupBy("dim").agg(F.approx_count_distinct("rid", 0.02).alias("n")).collect()  # a row per dim
     most = {r["dim"]: min(MOST_PIVOTS, max(LEAST_PIVOTS, math.ceil(4 * math.sqrt(r["n"])))) for r in counted}
     if not most:
         return {}
@@ -116,8 +116,8 @@ def build_index(vectors: DataFrame, st: Stages, key: str, posted: int, encode: C
     pivots whose angle is at most ``reach`` above that of the nearest.
     """
     named = _named(vectors, key)
-    members = st.save(named.select("rid", key).distinct())
-    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(named))
+    members = st.save(named.select("rid", key, "dim").distinct())
+    pivots = vectors.sparkSession.sparkContext.broadcast(choose_pivots(named, members))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -140,7 +140,7 @@ def build_index(vectors: DataFrame, st: Stages, key: str, posted: int, encode: C
                 yield pd.DataFrame({"rid": g["rid"].to_numpy(), "files": files, "pivots": [o.tobytes() for o in order], "code": code, "scale": scale, "err": err})
 
     rows = named.select("rid", "dim", "embedding").mapInPandas(run, "rid long, files array<long>, pivots binary, code binary, scale float, err float")
-    return st.save(rows.dropDuplicates(["rid"])), members
+    return st.save(rows.dropDuplicates(["rid"])), members.drop("dim")
 
 
 def _blocks(members: DataFrame, key: str) -> DataFrame:
