@@ -182,7 +182,10 @@ def wiki_pages(spark, sf_dir):
 
 
 def wiki_chunks(spark, sf_dir):
-    return K.page_chunks(wiki_pages(spark, sf_dir))
+    """The pages as chunks; the two lists are given as words, so that SQL can compare them."""
+    words = lambda c: F.array_join(c, " ").alias(c)
+    chunks = K.page_chunks(wiki_pages(spark, sf_dir))
+    return chunks.select(*(words(c) if c.startswith("identifier") else c for c in chunks.columns))
 
 
 def _parsed(spark, sf_dir) -> dict[str, DataFrame]:
@@ -329,3 +332,55 @@ SQL["unknown_kinds"] = " UNION ALL ".join(
     f"SELECT '{name}' AS column_name, {name.split('.')[1]} AS value, count(*) AS n_rows FROM {name.split('.')[0]} WHERE {name.split('.')[1]} IS NULL OR {name.split('.')[1]} NOT IN ({', '.join(repr(k) for k in known)}) GROUP BY 2"
     for name, known in T.KINDS.items()
 )
+
+SQL["commit_log"] = r"""WITH l AS (SELECT chunk_id, content, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i, len(string_split(content, chr(10))) AS n
+        FROM (SELECT DISTINCT chunk_id, content FROM chunks WHERE chunk_type = 'git' AND content IS NOT NULL)),
+    h AS (SELECT *, max(CASE WHEN regexp_matches(x, '^commit [0-9a-f]{7,64}') THEN i END) OVER (PARTITION BY chunk_id, content ORDER BY i) AS head FROM l),
+    c AS (SELECT chunk_id, content, head, string_agg(x, chr(10) ORDER BY i) || CASE WHEN max(i) < max(n) THEN chr(10) ELSE '' END AS c FROM h WHERE head IS NOT NULL GROUP BY chunk_id, content, head)
+    SELECT chunk_id, regexp_extract(c, '^commit ([0-9a-f]+)', 1) AS commit_id, regexp_extract(c, '(?m)^Author:\s*([^<\n]*?)\s*(<|$)', 1) AS author,
+        try_strptime(regexp_extract(c, '(?m)^Date:\s*(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)', 1), '%Y-%m-%d %H:%M:%S') AS committed_at,
+        trim(regexp_replace(regexp_replace(c, '(?s)^.*?\r?\n\r?\n', ''), '(?m)^ {4}', '', 'g'), ' ') AS message FROM c"""
+
+# The pages of the wiki, put together from lines.
+_FILE = "split_part({c}, '/', -1)"
+_PAGE = r"regexp_replace(split_part({c}, '/', -1), '\W+', '_', 'g') || '_' || substr(sha256({c}), 1, 12)"
+_MODULE_PAGES = f"""known AS (SELECT * FROM symbols WHERE file_path IS NOT NULL),
+    defs AS (SELECT file_path, start_line, end_line, name, kind, min(signature) AS signature, min(docstring) AS docstring FROM known WHERE kind IN ('class', 'function', 'method') GROUP BY ALL),
+    lines AS (SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY start_line NULLS FIRST, name NULLS FIRST, kind, end_line NULLS FIRST) AS k,
+        '### ' || kind || ' `' || coalesce(name, '') || '`' || chr(10) || coalesce('Lines ' || start_line || '-' || end_line || chr(10), '') || coalesce('`' || signature || '`' || chr(10), '') || coalesce(docstring, '') AS t FROM defs),
+    d AS (SELECT file_path, (k - 1) // 500 + 1 AS part_no, string_agg(t, chr(10) || chr(10) ORDER BY k) AS d FROM lines GROUP BY ALL),
+    file_of AS (SELECT node_id, min(file_path) AS file_path FROM known GROUP BY node_id),
+    calls AS (SELECT DISTINCT f.file_path, e.target_id FROM edges e JOIN file_of f ON e.source_id = f.node_id WHERE e.edge_type = 'CALLS' AND e.target_id IS NOT NULL),
+    called AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY target_id) AS k FROM calls),
+    c AS (SELECT file_path, (k - 1) // 500 + 1 AS part_no, string_agg('- `' || target_id || '`', chr(10) ORDER BY k) AS c FROM called GROUP BY ALL),
+    about AS (SELECT file_path, min(CASE WHEN kind = 'module' AND docstring <> '' THEN {{'l': start_line, 'n': node_id, 'd': docstring}} END).d AS about FROM known GROUP BY file_path),
+    n AS (SELECT file_path, count(*) AS n FROM defs GROUP BY file_path),
+    parts AS (SELECT file_path, part_no FROM d UNION SELECT file_path, part_no FROM c UNION SELECT file_path, 1 FROM known),
+    module_pages AS (SELECT {_PAGE.format(c='p.file_path')} AS page, p.part_no::INT AS part_no, p.file_path,
+        '# ' || {_FILE.format(c='p.file_path')} || CASE WHEN p.part_no = 1 THEN '' ELSE ', part ' || p.part_no END || chr(10) || chr(10) || '`' || p.file_path || '`' || chr(10) || chr(10)
+        || CASE WHEN p.part_no = 1 THEN coalesce(about || chr(10) || chr(10), '') ELSE '' END || coalesce(n, 0) || ' definitions' || chr(10) || chr(10)
+        || coalesce(d, '') || chr(10) || chr(10) || '## Calls' || chr(10) || chr(10) || coalesce(c, '') AS content
+        FROM parts p LEFT JOIN d ON p.file_path = d.file_path AND p.part_no = d.part_no LEFT JOIN c ON p.file_path = c.file_path AND p.part_no = c.part_no
+        LEFT JOIN about a ON p.file_path = a.file_path LEFT JOIN n ON p.file_path = n.file_path)"""
+SQL["wiki_pages"] = f"WITH {_MODULE_PAGES} SELECT page, part_no, file_path, content FROM module_pages"
+SQL["wiki_chunks"] = f"""WITH {_MODULE_PAGES}, named AS (SELECT *, page || CASE WHEN part_no = 1 THEN '' ELSE '_' || part_no END AS called FROM module_pages)
+    SELECT 'wiki:' || called AS chunk_id, NULL::VARCHAR AS symbol_id, '.wiki/' || called || '.md' AS file_path, 'wiki' AS chunk_type, content, 1 AS start_line, len(string_split(content, chr(10)))::INT AS end_line,
+        'markdown' AS language, sha256(content) AS content_hash, false AS is_definition, page AS identifiers,
+        array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(page, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_\\W]+'), lambda x: x <> ''), ' ') AS identifier_tokens FROM named"""
+_SHORT = "replace(split_part({c}, ':', -1), '.', '_')"
+_CELLS = "1 + ('0x' || cell)::INT * 100000 + (k - 1) // 500 + 1"
+SQL["wiki_index"] = f"""WITH files AS (SELECT DISTINCT file_path, substr(sha256(file_path), 1, 2) AS cell FROM symbols WHERE file_path IS NOT NULL),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY file_path) AS k, '- [' || {_FILE.format(c='file_path')} || '](' || {_PAGE.format(c='file_path')} || '.md)' AS line FROM files),
+    summaries AS ({SQL['wiki_module_table']}),
+    defined AS (SELECT file_path, name, row_number() OVER (PARTITION BY file_path ORDER BY name) AS k FROM (SELECT DISTINCT file_path, name FROM symbols WHERE file_path IS NOT NULL AND kind IN ('class', 'function') AND name IS NOT NULL)),
+    names AS (SELECT file_path, (k - 1) // 500 + 1 AS pos, string_agg('`' || name || '`', ', ' ORDER BY name) AS names FROM defined GROUP BY ALL),
+    lines AS (SELECT cell, file_path, coalesce(pos, 1) AS pos, '| [`' || {_FILE.format(c='file_path')} || '`](' || {_PAGE.format(c='file_path')} || '.md) | ' || coalesce(names, 'Module') || ' | ' || summary || ' |' AS line
+        FROM files JOIN summaries USING (file_path) LEFT JOIN names USING (file_path)),
+    tabled AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY file_path, pos) AS k FROM lines),
+    flows AS (SELECT source_id, part_no, row_number() OVER (ORDER BY source_id, part_no) AS no, steps FROM ({SQL['wiki_workflows'].replace("string_agg(target_id, ' ' ORDER BY target_id)", "list(target_id ORDER BY target_id)")}))
+    SELECT 'index' AS page, 1 AS part_no, NULL::VARCHAR AS file_path, concat_ws(chr(10), '# Wiki', '', '- [Architecture](architecture.md)', '- [Workflows](workflows.md)', '', '## Modules', '') AS content
+    UNION ALL SELECT 'index', {_CELLS}, NULL, string_agg(line, chr(10) ORDER BY file_path) FROM listed GROUP BY 2
+    UNION ALL SELECT 'architecture', 1, NULL, concat_ws(chr(10), '# Architecture', '', '```mermaid', 'graph TD', coalesce(string_agg('    ' || src || ' --> ' || tgt, chr(10) ORDER BY '    ' || src || ' --> ' || tgt), ''), '```', '') FROM ({SQL['wiki_architecture']})
+    UNION ALL SELECT 'architecture', {_CELLS}, NULL, concat_ws(chr(10), '# Modules', '', '| File | Defines | Summary |', '| :--- | :--- | :--- |', string_agg(line, chr(10) ORDER BY file_path, pos), '') FROM tabled GROUP BY 2
+    UNION ALL SELECT 'workflows', no, NULL, '### Flow from `' || split_part(source_id, ':', -1) || '`' || chr(10) || '```mermaid' || chr(10) || 'sequenceDiagram' || chr(10)
+        || array_to_string(list_transform(steps, lambda x: '    ' || {_SHORT.format(c='source_id')} || '->>' || {_SHORT.format(c='x')} || ': invoke'), chr(10)) || chr(10) || '```' || chr(10) FROM flows"""
