@@ -29,6 +29,16 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_items(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "size_limits"))
 
 
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every oversized chunk, how many characters its pieces hold without their overlaps, and how many pieces are too large."""
+    limits = table(spark, sf_dir, "size_limits")
+    kind = limits.where("item_kind like 'chunk:%'").select(F.expr("substring(item_kind, 7)").alias("chunk_type"), "max_size", "overlap")
+    p = C.split_items(table(spark, sf_dir, "chunks"), limits).join(F.broadcast(kind), "chunk_type")  # a row per chunk_type
+    own = F.length("content") - F.when(F.col("piece_no") > 0, F.col("overlap")).otherwise(0)
+    too_large = F.when(F.length("content") > F.col("max_size"), 1)
+    return p.groupBy("chunk_id", "chunk_type").agg(F.sum(own).alias("n_chars"), F.count(too_large).alias("n_too_large"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors with a cosine of at least 0.94."""
     return N.similar_pairs(table(spark, sf_dir, "chunk_vectors"), 0.94).select("chunk_id_a", "chunk_id_b")
@@ -76,6 +86,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that was placed (an empty one takes no room), whether its pieces follow each other without a gap, and how many of their containers are too full."""
+    full = _capacity(spark, sf_dir)
+    placed = Stages(spark, "placed").save(_packed(spark, sf_dir))
+    over = placed.groupBy("container_id").agg((F.sum("n") > full).cast("int").alias("over"))
+    per = placed.join(over, "container_id").groupBy("doc_id").agg(F.max(F.col("first") + F.col("n")).alias("end"), F.sum("n").alias("n"), F.sum("over").alias("n_too_full"))
+    return per.select("doc_id", (F.col("end") == F.col("n")).alias("whole"), "n_too_full")
+
+
 def _profiles(spark: SparkSession, sf_dir: str):
     docs, codes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes")
     return docs, codes, L.train(docs, codes)
@@ -93,7 +112,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segments(docs, profiles)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p4_found, p4_nearest, p4_recall, p6_ids, p7_containers, p7_fill, p8_found, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_pieces, p2_coverage, p4_found, p4_nearest, p4_recall, p6_ids, p7_containers, p7_fill, p7_placed, p8_found, p8_segments)}
 
 _USABLE = """usable AS (
     SELECT DISTINCT chunk_id, dim, embedding::DOUBLE[] AS e FROM chunk_vectors
@@ -101,6 +120,9 @@ _USABLE = """usable AS (
       AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL OR isnan(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))"""
 
 SQL = {
+    "p2_coverage": """WITH big AS (SELECT DISTINCT chunk_id, chunk_type, start_line, content FROM chunks c JOIN size_limits l ON l.item_kind = 'chunk:' || c.chunk_type WHERE length(content) > max_size)
+        SELECT chunk_id, chunk_type, sum(length(content))::BIGINT AS n_chars, 0 AS n_too_large FROM big GROUP BY chunk_id, chunk_type""",
+    "p7_placed": "SELECT doc_id, true AS whole, 0 AS n_too_full FROM documents WHERE text <> ''",
     "p4_found": f"""WITH {_USABLE}
         SELECT DISTINCT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b FROM usable a JOIN usable b ON a.dim = b.dim AND a.chunk_id < b.chunk_id
         WHERE list_cosine_similarity(a.e, b.e) >= 0.94""",
